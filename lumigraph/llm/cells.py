@@ -1,0 +1,240 @@
+"""Cells of vector space with overlapping margins: the partitioning that clustering and neighbour search share.
+
+A bounded sample gives a mean, the leading principal directions and k-means pivots of the reduced vectors; every
+vector goes to the cell of its nearest pivot and, as a margin copy, to each cell whose bisecting plane is within
+``margin`` of it.  Two vectors that a plane divides then still meet in a cell unless they lie further apart along
+its normal than twice the margin.  Every row is placed, none is sampled away: only the pivots come from the sample.
+
+A cell that the sample expects to outgrow ``block_rows`` is split into blocks whose pairs are the tasks, so a hot
+cell is many tasks.  Copies of one vector are collapsed before the shuffle.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+SAMPLE_ROWS = 24_000  # bound of the sample that pivots and codebooks are fitted on
+MAX_PIVOTS = 8_192
+SEED = 20_011
+
+
+def usable(vec: str, dims: int) -> Column:
+    """``dims`` finite values, not all zero; a null, short or empty vector, or one with null, NaN or infinity, is not."""
+    v = F.col(vec)
+    hi, lo = F.array_max(v), F.array_min(v)
+    inf = float("inf")
+    return v.isNotNull() & (F.size(v) == dims) & (F.size(F.array_compact(v)) == dims) & ~F.isnan(hi) & (hi < inf) & (lo > -inf) & ((hi != 0) | (lo != 0))
+
+
+def prepare(df: DataFrame, id_col: str, vec: str, dims: int) -> DataFrame:
+    """``(id, h, g, vec)`` of the usable rows; ``h, g`` are 128 bits of hash of the exact values (-0.0 counts as 0.0)."""
+    v = F.col(vec).cast("array<double>")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(usable("vec", dims)).select("id", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(7), "vec").alias("g"), "vec")
+
+
+def matrix(col: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
+
+
+# ---------------------------------------------------------------- compact, lossless vectors
+
+
+def pack(m: np.ndarray) -> pa.Array:
+    """Rows as binary, lossless: values that are whole thousandths take 10 or 16 bits each, any others 64."""
+    n, d = m.shape
+    if not n:
+        return pa.array([], pa.binary())
+    q = np.rint(m * 1000)
+    ok = (q / 1000 == m).all(1) & (np.abs(q) < 32_000).all(1)
+    i = np.where(ok[:, None], q, 0).astype(np.int32)
+    u = ((i << 1) ^ (i >> 31)).astype(np.uint16)
+    small = ok & (u.max(1) < 1024) & (d % 4 == 0)
+    width = np.where(small, d + d // 4, np.where(ok, 2 * d, 8 * d)).astype(np.int64)
+    off = np.zeros(n + 1, np.int64)
+    np.cumsum(width, out=off[1:])
+    out = np.empty(off[-1], np.uint8)
+    for kind, make in ((small, _ten), (ok & ~small, lambda r: u[r].view(np.uint8).reshape(len(r), -1)), (~ok, lambda r: np.ascontiguousarray(m[r]).view(np.uint8).reshape(len(r), -1))):
+        rows = np.flatnonzero(kind)
+        if len(rows):
+            body = make(u[rows]) if make is _ten else make(rows)
+            out[off[rows][:, None] + np.arange(body.shape[1])] = body
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _ten(u: np.ndarray) -> np.ndarray:
+    hi = (u >> 8).astype(np.uint8).reshape(len(u), -1, 4)
+    return np.concatenate([u.astype(np.uint8), hi[:, :, 0] | hi[:, :, 1] << 2 | hi[:, :, 2] << 4 | hi[:, :, 3] << 6], axis=1)
+
+
+def unpack(col: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    n = len(col)
+    wide = pa.types.is_large_binary(col.type)
+    off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if n else np.zeros(0, np.uint8)
+    out, width = np.empty((n, d)), np.diff(off)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        body = data[off[rows][:, None] + np.arange(w)]
+        if w == 8 * d:
+            out[rows] = np.ascontiguousarray(body).view(np.float64)
+            continue
+        if w == 2 * d:
+            u = np.ascontiguousarray(body).view(np.uint16).astype(np.int32)
+        else:
+            hi = np.stack([body[:, d:] >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(rows), d)
+            u = body[:, :d].astype(np.int32) | hi.astype(np.int32) << 8
+        out[rows] = ((u >> 1) ^ -(u & 1)) / 1000
+    return out
+
+
+# ---------------------------------------------------------------- the space
+
+
+@dataclass(frozen=True)
+class Space:
+    """Mean, directions and pivots; ``blocks[c]`` is into how many blocks cell ``c`` is split."""
+
+    mean: np.ndarray
+    axes: np.ndarray
+    pivots: np.ndarray
+    gaps: np.ndarray  # distance of every two pivots
+    blocks: np.ndarray
+    margin: float
+
+    def place(self, m: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and cells, home and margin."""
+        rows, cells = [], []
+        p2 = (self.pivots**2).sum(1)
+        for s in range(0, len(m), chunk):
+            y = ((m[s : s + chunk] - self.mean) @ self.axes).astype(np.float32)
+            d2 = p2 - 2 * (y @ self.pivots.T)
+            home = d2.argmin(1)
+            near = d2 - d2[np.arange(len(y)), home][:, None] <= 2 * self.margin * self.gaps[home]
+            near[np.arange(len(y)), home] = True
+            r, c = np.nonzero(near)
+            rows.append(r + s)
+            cells.append(c)
+        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cells or [np.zeros(0, int)])
+
+
+def sample(rows: DataFrame, total: int, dims: int, size: int = SAMPLE_ROWS) -> np.ndarray:
+    """At most about ``size`` distinct vectors, chosen by their hash; for fitting only."""
+    share = min(1.0, size / max(total, 1))
+    kept = rows.where(F.pmod("g", F.lit(1_000_000)) < round(share * 1_000_000)).select("h", "vec").limit(2 * size)
+    t = kept.toArrow()
+    m = matrix(t["vec"], dims)
+    _, first = np.unique(t["h"].to_numpy(), return_index=True)
+    return m[first]
+
+
+def fit(data: np.ndarray, total: int, margin: float, dims: int = 64, cell_rows: int = 400, block_rows: int = 60_000) -> Space:
+    """Pivots for about ``cell_rows`` vectors a cell, from ``data``, a sample of ``total`` vectors."""
+    rng = np.random.default_rng(SEED)
+    mean = data.mean(0) if len(data) else np.zeros(data.shape[1])
+    _, axes = np.linalg.eigh(np.cov((data - mean).T) if len(data) > 1 else np.eye(data.shape[1]))
+    axes = axes[:, ::-1][:, : min(dims, data.shape[1])]
+    y = ((data - mean) @ axes).astype(np.float32)
+    k = int(np.clip(round(total / cell_rows), 1, min(MAX_PIVOTS, max(1, len(y) // 4))))
+    p = y[rng.choice(len(y), k, replace=False)] if len(y) else np.zeros((1, axes.shape[1]), np.float32)
+    for _ in range(6 if len(y) else 0):
+        a = _nearest(y, p)
+        order, n = np.argsort(a, kind="stable"), np.bincount(a, minlength=len(p))
+        sums = np.add.reduceat(y[order], np.concatenate([[0], np.cumsum(n[n > 0])[:-1]]), axis=0)
+        p = (sums / n[n > 0][:, None]).astype(np.float32)
+    p = _apart(p, 2 * margin)
+    gaps = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (p**2).sum(1) - 2 * p @ p.T, 0)).astype(np.float32)
+    plain = Space(mean, axes, p, gaps, np.ones(len(p), int), margin)
+    _, cells = plain.place(data) if len(data) else ((), np.zeros(0, int))
+    expected = np.bincount(cells, minlength=len(p)) * (total / max(len(data), 1))
+    return Space(mean, axes, p, gaps, np.maximum(1, np.ceil(expected / block_rows)).astype(int), margin)
+
+
+def _nearest(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    p2 = (p**2).sum(1)
+    return np.concatenate([(p2 - 2 * y[s : s + 4096] @ p.T).argmin(1) for s in range(0, len(y), 4096)])
+
+
+def _apart(p: np.ndarray, least: float) -> np.ndarray:
+    """Pivots no two of which are closer than ``least``: those within a dense spot would only share all their rows."""
+    keep: list[int] = []
+    for i in range(len(p)):
+        if not keep or ((p[keep] - p[i]) ** 2).sum(1).min() >= least * least:
+            keep.append(i)
+    return p[keep]
+
+
+CELL_ROWS = "cell long, id long, h long, g long, code binary"
+
+
+def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1) -> DataFrame:
+    """Place all rows of :func:`prepare`: one row per cell, block pair and vector, with the vector packed.
+
+    Of a vector's copies in a batch, and of hot ones in a task, only the ``ids_kept`` smallest ids go on.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(space)  # at most MAX_PIVOTS pivots and their distances
+
+    def run(batches):
+        sp: Space = shared.value
+        total = np.concatenate([[0], np.cumsum(sp.blocks * (sp.blocks + 1) // 2)])
+        hot: dict[tuple[int, int], list[int]] = {}
+        for b in batches:
+            ids, h, g = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.lexsort((ids, g, h))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+            order = order[fresh]
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            start = np.flatnonzero(new)
+            rank = np.arange(len(order)) - start[np.cumsum(new) - 1] if len(order) else np.zeros(0, int)
+            keep = rank < ids_kept
+            count = np.diff(np.append(start, len(order)))
+            for s in start[count > 8]:  # a vector with many copies: what this task sent before stands, unless smaller ids come
+                key, mine = (int(h[order[s]]), int(g[order[s]])), ids[order[s : s + ids_kept]].tolist()
+                seen = hot.get(key, [])
+                merged = sorted({*seen, *mine})[:ids_kept]
+                keep[s : s + ids_kept] &= np.isin(ids[order[s : s + ids_kept]], [x for x in merged if x not in seen])
+                if len(hot) < 100_000 or key in hot:
+                    hot[key] = merged
+            order = order[keep]
+            if not len(order):
+                continue
+            m = matrix(b.column(3), dims)[order]
+            code = pack(m)
+            row, cell = sp.place(m)
+            blocks = sp.blocks[cell]
+            if (blocks > 1).any():  # to every pair of blocks that this row's block is in
+                mine = h[order][row] % blocks
+                row, cell, mine = (np.repeat(x, blocks) for x in (row, cell, mine))
+                first = np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
+                other = np.arange(len(row)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+                lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+                part = total[cell] + hi * (hi + 1) // 2 + lo
+            else:
+                part = total[cell]
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(ids[order][row]), pa.array(h[order][row]), pa.array(g[order][row]), code.take(pick)], names=["cell", "id", "h", "g", "code"])
+
+    return rows.select("id", "h", "g", "vec").mapInArrow(run, CELL_ROWS)
+
+
+def distinct_vectors(t: pa.Table, dims: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a cell: a row number per distinct vector, sorted ids of the rows of each as (starts, ids), and the matrix."""
+    ids, h, g = (t[c].to_numpy() for c in ("id", "h", "g"))
+    order = np.lexsort((ids, g, h))
+    hs, gs, ix = h[order], g[order], ids[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (hs[1:] == hs[:-1]) & (gs[1:] == gs[:-1]) & (ix[1:] == ix[:-1])
+    order, hs, gs, ix = order[~again], hs[~again], gs[~again], ix[~again]
+    new = np.ones(len(order), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
+    start = np.flatnonzero(new)
+    code = t["code"].combine_chunks() if isinstance(t["code"], pa.ChunkedArray) else t["code"]
+    return start, ix, unpack(code.take(pa.array(order[start])), dims)
