@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumigraph.llm import boruvka, clusters
+from lumigraph.llm import boruvka, clusters, neighbours
 from lumigraph.session import table
 
 
@@ -26,7 +26,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("int").alias("cluster_id"), F.col("group_id").cast("int").alias("group_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of faces, and of centroids, in which one is among the other's three nearest."""
+    face = neighbours.nearest(table(spark, sf_dir, "face"), "face_id", "encoding")
+    centroid = neighbours.nearest(table(spark, sf_dir, "centroid"), "cluster_id", "vec")
+    both = face.withColumn("kind", F.lit("face")).unionByName(centroid.withColumn("kind", F.lit("centroid")))
+    return both.select("kind", F.least("id", "nbr").alias("id_1"), F.greatest("id", "nbr").alias("id_2")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p5_found": p5_found}
 
 ORACLE = {
     "p2_found": """
