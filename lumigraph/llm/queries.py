@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumigraph.llm import boruvka, clusters, neighbours
+from lumigraph.llm import boruvka, clusters, leaks, neighbours
 from lumigraph.session import table
 
 
@@ -34,7 +34,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", F.least("id", "nbr").alias("id_1"), F.greatest("id", "nbr").alias("id_2")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with 15 or more consecutive words of an item's passage."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the number of documents that leak it; 0 for items that none leaks."""
+    items = table(spark, sf_dir, "eval_item")
+    n = p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n"))
+    return items.select("item_id", "suite").distinct().join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_items": p6_items}
 
 ORACLE = {
     "p2_found": """
