@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_ROWS = 24_000  # bound of the sample that pivots and codebooks are fitted on
+SAMPLE_ROWS = 16_000  # bound of the sample that pivots and codebooks are fitted on
 MAX_PIVOTS = 8_192
 SEED = 20_011
 
@@ -133,7 +133,7 @@ def sample(rows: DataFrame, total: int, dims: int, size: int = SAMPLE_ROWS) -> n
     return m[first]
 
 
-def fit(data: np.ndarray, total: int, margin: float, dims: int = 64, cell_rows: int = 400, block_rows: int = 60_000) -> Space:
+def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows: int = 400, block_rows: int = 60_000) -> Space:
     """Pivots for about ``cell_rows`` vectors a cell, from ``data``, a sample of ``total`` vectors."""
     rng = np.random.default_rng(SEED)
     mean = data.mean(0) if len(data) else np.zeros(data.shape[1])

@@ -20,7 +20,7 @@ from lumigraph.session import cut
 
 BOOKS, WORDS, BEAM = 6, 64, 4
 SLACK = 5.0  # standard deviations of the part of a difference that the code does not see
-MARGIN = 0.06
+MARGIN = 0.045
 
 
 @dataclass(frozen=True)
