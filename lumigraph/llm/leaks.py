@@ -65,8 +65,11 @@ def _unmangle(m: re.Match) -> str:
     return m[0]
 
 
-def decode(text: str) -> str:
-    """Undo escapes and character forms; lower case; letters without their marks.  Keeps separators and line breaks."""
+def decode(text: str, lower: bool = True) -> str:
+    """Undo escapes and character forms; lower case, unless told not to; letters without their marks.
+
+    Keeps separators and line breaks.
+    """
     t = text
     for _ in range(2):
         if "&" in t:
@@ -85,10 +88,10 @@ def decode(text: str) -> str:
             t = re.sub("[\ud800-\udfff]", " ", t)
         t = _MOJIBAKE.sub(_unmangle, t)
         t = _CONTROL.sub("", t)
-        t = unicodedata.normalize("NFKD", t.casefold())
-        t = re.sub("[\u0300-\u036f]", "", t).casefold().translate(_ALIKE)
-        return t
-    return t.lower()
+        t = unicodedata.normalize("NFKD", t.casefold() if lower else t)
+        t = re.sub("[\u0300-\u036f]", "", t)
+        return (t.casefold() if lower else t).translate(_ALIKE)
+    return t.lower() if lower else t
 
 
 def squeeze(t: str) -> bytes:
