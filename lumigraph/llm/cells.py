@@ -44,9 +44,13 @@ def matrix(col: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 # ---------------------------------------------------------------- compact, lossless vectors
 
 
-def pack(m: np.ndarray) -> pa.Array:
-    """Rows as binary, lossless: values that are whole thousandths take 10 or 16 bits each, any others 64."""
+def pack(m: np.ndarray, tail: np.ndarray | None = None) -> pa.Array:
+    """Rows as binary, lossless: values that are whole thousandths take 10 or 16 bits each, any others 64.
+
+    ``tail`` holds further bytes of each row.
+    """
     n, d = m.shape
+    extra = 0 if tail is None else tail.shape[1]
     if not n:
         return pa.array([], pa.binary())
     q = np.rint(m * 1000)
@@ -54,7 +58,7 @@ def pack(m: np.ndarray) -> pa.Array:
     i = np.where(ok[:, None], q, 0).astype(np.int32)
     u = ((i << 1) ^ (i >> 31)).astype(np.uint16)
     small = ok & (u.max(1) < 1024) & (d % 4 == 0)
-    width = np.where(small, d + d // 4, np.where(ok, 2 * d, 8 * d)).astype(np.int64)
+    width = np.where(small, d + d // 4, np.where(ok, 2 * d, 8 * d)).astype(np.int64) + extra
     off = np.zeros(n + 1, np.int64)
     np.cumsum(width, out=off[1:])
     out = np.empty(off[-1], np.uint8)
@@ -62,6 +66,7 @@ def pack(m: np.ndarray) -> pa.Array:
         rows = np.flatnonzero(kind)
         if len(rows):
             body = make(u[rows]) if make is _ten else make(rows)
+            body = body if tail is None else np.concatenate([body, tail[rows]], axis=1)
             out[off[rows][:, None] + np.arange(body.shape[1])] = body
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
@@ -71,15 +76,17 @@ def _ten(u: np.ndarray) -> np.ndarray:
     return np.concatenate([u.astype(np.uint8), hi[:, :, 0] | hi[:, :, 1] << 2 | hi[:, :, 2] << 4 | hi[:, :, 3] << 6], axis=1)
 
 
-def unpack(col: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+def unpack(col: pa.Array | pa.ChunkedArray, d: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors and the ``extra`` bytes of each row."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     n = len(col)
     wide = pa.types.is_large_binary(col.type)
     off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8) if n else np.zeros(0, np.uint8)
-    out, width = np.empty((n, d)), np.diff(off)
+    out, width, tail = np.empty((n, d)), np.diff(off) - extra, np.empty((n, extra), np.uint8)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
+        tail[rows] = data[off[rows][:, None] + w + np.arange(extra)]
         body = data[off[rows][:, None] + np.arange(w)]
         if w == 8 * d:
             out[rows] = np.ascontiguousarray(body).view(np.float64)
@@ -90,7 +97,7 @@ def unpack(col: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
             hi = np.stack([body[:, d:] >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(rows), d)
             u = body[:, :d].astype(np.int32) | hi.astype(np.int32) << 8
         out[rows] = ((u >> 1) ^ -(u & 1)) / 1000
-    return out
+    return out, tail
 
 
 # ---------------------------------------------------------------- the space
@@ -169,13 +176,13 @@ def _apart(p: np.ndarray, least: float) -> np.ndarray:
     return p[keep]
 
 
-CELL_ROWS = "cell long, id long, h long, g long, code binary"
+CELL_ROWS = "cell long, id long, code binary"
 
 
-def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1) -> DataFrame:
+def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1, tail=None) -> DataFrame:
     """Place all rows of :func:`prepare`: one row per cell, block pair and vector, with the vector packed.
 
-    Of a vector's copies in a batch, and of hot ones in a task, only the ``ids_kept`` smallest ids go on.
+    ``tail`` (a broadcast function of a matrix) gives bytes that travel with each vector.  Of a vector's copies in a batch, and of hot ones in a task, only the ``ids_kept`` smallest ids go on.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(space)  # at most MAX_PIVOTS pivots and their distances
@@ -207,7 +214,7 @@ def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1) -> DataF
             if not len(order):
                 continue
             m = matrix(b.column(3), dims)[order]
-            code = pack(m)
+            code = pack(m, None if tail is None else tail.value(m))
             row, cell = sp.place(m)
             blocks = sp.blocks[cell]
             if (blocks > 1).any():  # to every pair of blocks that this row's block is in
@@ -220,21 +227,21 @@ def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1) -> DataF
             else:
                 part = total[cell]
             pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(ids[order][row]), pa.array(h[order][row]), pa.array(g[order][row]), code.take(pick)], names=["cell", "id", "h", "g", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(ids[order][row]), code.take(pick)], names=["cell", "id", "code"])
 
     return rows.select("id", "h", "g", "vec").mapInArrow(run, CELL_ROWS)
 
 
-def distinct_vectors(t: pa.Table, dims: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of a cell: a row number per distinct vector, sorted ids of the rows of each as (starts, ids), and the matrix."""
-    ids, h, g = (t[c].to_numpy() for c in ("id", "h", "g"))
-    order = np.lexsort((ids, g, h))
-    hs, gs, ix = h[order], g[order], ids[order]
-    again = np.zeros(len(order), bool)
-    again[1:] = (hs[1:] == hs[:-1]) & (gs[1:] == gs[:-1]) & (ix[1:] == ix[:-1])
-    order, hs, gs, ix = order[~again], hs[~again], gs[~again], ix[~again]
-    new = np.ones(len(order), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
-    start = np.flatnonzero(new)
-    code = t["code"].combine_chunks() if isinstance(t["code"], pa.ChunkedArray) else t["code"]
-    return start, ix, unpack(code.take(pa.array(order[start])), dims)
+def distinct_vectors(t: pa.Table, dims: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell: where each distinct vector's ids start, the ids (ascending within it), the matrix and the tails."""
+    code = t["code"].combine_chunks()
+    code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
+    same = code.dictionary_encode()
+    v, ids = same.indices.to_numpy(), t["id"].to_numpy()
+    order = np.lexsort((ids, v))
+    v, ids = v[order], ids[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (ids[1:] != ids[:-1])
+    v, ids = v[new], ids[new]
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
+    return start, ids, *unpack(same.dictionary, dims, extra)

@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumigraph.llm import cells
-from lumigraph.session import cut
 
-BOOKS, WORDS, BEAM = 6, 64, 4
-SLACK = 5.0  # standard deviations of the part of a difference that the code does not see
+BOOKS, WORDS, BEAM = 8, 128, 4
+SLACK = 4.0  # standard deviations of the part of a difference that the code does not see
 MARGIN = 0.045
 
 
@@ -36,7 +35,7 @@ class Books:
     def of(mean: np.ndarray, words: np.ndarray, books: int) -> Books:
         return Books(mean, words.astype(np.float32), (words @ words.T).astype(np.float32), books)
 
-    def encode(self, x: np.ndarray, beam: int = BEAM, chunk: int = 4096) -> np.ndarray:
+    def encode(self, x: np.ndarray, beam: int = BEAM, chunk: int = 512) -> np.ndarray:
         """Beam search: each stage keeps the ``beam`` partial sums nearest to the vector."""
         return np.concatenate([self._encode(x[s : s + chunk], beam) for s in range(0, len(x), chunk)] or [np.zeros((0, self.books), np.uint8)])
 
@@ -92,11 +91,11 @@ def train(data: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return b
 
 
-def near_pairs(m: np.ndarray, books: Books, limit: float, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs ``i < j`` of rows at a distance below ``limit``, rounded to six decimals: scored by tables, then exact."""
     n, k = len(m), len(books.words) // books.books
     x = (m - books.mean).astype(np.float32)
-    codes = books.encode(x).astype(np.int64)
+    codes = codes.astype(np.int64)
     hat = books.decode(codes)
     norm = (x * x).sum(1)
     along = (x * hat).sum(1)
@@ -104,17 +103,20 @@ def near_pairs(m: np.ndarray, books: Books, limit: float, chunk: int = 512) -> t
     # of a query at distance <= limit the score misses 2 <difference, what the code leaves out>
     rest = np.sqrt(np.maximum(((x - scale[:, None] * hat) ** 2).sum(1), 0))
     allowed = limit * limit + 2 * SLACK * limit * rest / np.sqrt(m.shape[1]) + 1e-4
-    table = x @ books.words.T
+    # look-up tables by codeword, so that one code copies the scores of all queries of a block
+    table = books.words @ x.T
     ii, jj, dd = [], [], []
     for s in range(0, n, chunk):
         e = min(n, s + chunk)
-        score = np.zeros((e - s, n - s), np.float32)
-        for b in range(books.books):
-            score += np.take(table[s:e, b * k : b * k + k], codes[s:, b], axis=1)
-        score *= -2 * scale[s:]
-        score += norm[s:e, None]
-        score += (norm - allowed)[s:]
-        a, c = np.nonzero(score <= 0)
+        part = np.ascontiguousarray(table[:, s:e])
+        score = part[codes[s:, 0]]
+        for b in range(1, books.books):
+            score += part[codes[s:, b] + b * k]
+        score *= (-2 * scale[s:])[:, None]
+        score += norm[s:e]
+        score += (norm - allowed)[s:, None]
+        hit = np.flatnonzero((score <= 0).reshape(-1))
+        c, a = np.divmod(hit, e - s)
         keep = a < c
         a, c = a[keep] + s, c[keep] + s
         for o in range(0, len(a), 100_000):
@@ -131,6 +133,17 @@ def near_pairs(m: np.ndarray, books: Books, limit: float, chunk: int = 512) -> t
     return np.concatenate(ii or [z]), np.concatenate(jj or [z]), np.concatenate(dd or [np.zeros(0)])
 
 
+class _Encoder:
+    """Codes of the rows of a matrix; computed once, where a vector is read."""
+
+    def __init__(self, shared) -> None:
+        self.shared = shared
+
+    def __call__(self, m: np.ndarray) -> np.ndarray:
+        books: Books = self.shared.value
+        return books.encode((m - books.mean).astype(np.float32))
+
+
 def _top(src: np.ndarray, dst: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     """Row numbers of the ``k`` smallest (d, dst) of every src."""
     order = np.lexsort((dst, d, src))
@@ -153,15 +166,17 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     total = rows.count()
     data = cells.sample(rows, total, dims)
     space = cells.fit(data, total, MARGIN * limit / 0.6 if margin is None else margin, cell_rows=cell_rows)
-    shared = df.sparkSession.sparkContext.broadcast(train(data))  # BOOKS * WORDS codewords
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(train(data))  # BOOKS * WORDS codewords
+    encoder = spark.sparkContext.broadcast(_Encoder(shared))
     schema = "id long, n1 long, d1 int, n2 long, d2 int, n3 long, d3 int" if k == 3 else "id long, " + ", ".join(f"n{i} long, d{i} int" for i in range(1, k + 1))
     names = ["id", *(f"{c}{i}" for i in range(1, k + 1) for c in "nd")]
     types = pa.schema([("id", pa.int64()), *((f"{c}{i}", pa.int64() if c == "n" else pa.int32()) for i in range(1, k + 1) for c in "nd")])
 
     def run(t: pa.Table) -> pa.Table:
-        start, ids, m = cells.distinct_vectors(t, dims)
+        start, ids, m, codes = cells.distinct_vectors(t, dims, BOOKS)
         count = np.minimum(np.diff(np.append(start, len(ids))), k + 1)  # k + 1 copies serve any id
-        i, j, d = near_pairs(m, shared.value, limit)
+        i, j, d = near_pairs(m, codes, shared.value, limit)
         copied = np.flatnonzero(count > 1)
         i, j, d = np.concatenate([i, j, copied]), np.concatenate([j, i, copied]), np.concatenate([d, d, np.zeros(len(copied))])
         best = _top(i, ids[start[j]], d, k + 1)  # each of these vectors has at least one id
@@ -188,7 +203,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
             cols += [pa.array(n_, mask=~ok), pa.array(d_, mask=~ok)]
         return pa.Table.from_arrays(cols, schema=types)
 
-    local = cells.spread(rows, space, dims, ids_kept=k + 1).groupBy("cell").applyInArrow(run, schema)
+    local = cells.spread(rows, space, dims, ids_kept=k + 1, tail=encoder).groupBy("cell").applyInArrow(run, schema)
     # an id of one cell is done; lists of several cells, at most one a cell, become one
     lists = F.array(*(F.struct(F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i in range(1, k + 1)))
     found = local.select("id", F.filter(lists, lambda e: e.n.isNotNull()).alias("l"))
