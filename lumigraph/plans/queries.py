@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lumigraph.plans import skewed
+
+QUERIES: dict = {**skewed.QUERIES}
+ORACLE: dict = {**skewed.ORACLE}
