@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumigraph.session import cut
+
 STATE = "part int, seq int, edge boolean, key long, n_rows long, n_distinct long, first string, last string, least timestamp, most timestamp"
 
 
@@ -121,6 +123,6 @@ def per_key(df: DataFrame, key: str, second: str, at: str, partitions: int | Non
 
 def heavy_keys(df: DataFrame, key: str, second: str, at: str, share: float = 0.05) -> DataFrame:
     """The keys that hold at least ``share`` of the rows with a key, with their counts."""
-    counts = per_key(df, key, second, at)
-    total = counts.agg(F.sum("n_rows").alias("total"))
-    return counts.join(F.broadcast(total), F.col("n_rows") >= share * F.col("total")).drop("total")  # one row
+    counts = cut(per_key(df, key, second, at))
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    return counts.where(F.col("n_rows") >= F.lit(share) * F.lit(total))
