@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumigraph.llm import boruvka, clusters, leaks, neighbours
-from lumigraph.session import table
+from lumigraph.llm import boruvka, clusters, leaks, mixture, neighbours, together, toxic
+from lumigraph.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,71 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", "suite").distinct().join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_items": p6_items}
+def _cluster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (cluster, original file); cut, as several steps read it."""
+    rows = table(spark, sf_dir, "cluster_file").select("cluster_id", "media_path")
+    return cut(together.baskets(together.through(rows, "media_path", table(spark, sf_dir, "frame"), "frame_path", "media_path"), "cluster_id", "media_path"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of clusters in at least 5 common files and at least 10 times as many as chance."""
+    links = _cluster_files(spark, sf_dir)
+    out = together.frequent(links, together.pair_counts(links, 5))
+    return out.select(F.col("i").cast("int").alias("cluster_id_1"), F.col("j").cast("int").alias("cluster_id_2"))
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of clusters with a common file, against the fitted null."""
+    links = _cluster_files(spark, sf_dir)
+    return together.surprise(links, together.pair_counts(links))
+
+
+def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of the mix in training order."""
+    return mixture.mix(mixture.counted(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached, per source."""
+    counts, goal = mixture.counted(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_target")
+    return mixture.shares(mixture.mix(counts, goal), counts, goal)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic.score(docs, toxic.model(docs, table(spark, sf_dir, "review_sample")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    return _scored(spark, sf_dir).where(F.col("score") >= toxic.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and kind for every document."""
+    return _scored(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per source."""
+    return toxic.rates(_scored(spark, sf_dir))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_order": p7_order,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
+}
 
 ORACLE = {
     "p2_found": """
@@ -59,4 +123,13 @@ ORACLE = {
             select s.b, r.g from r join s on s.a = r.id where r.g < s.b
         )
         select cast(id as integer) as cluster_id, cast(min(g) as integer) as group_id from r group by id""",
+    "p4_found": """
+        with fr as (select frame_path, min(media_path) as m from frame where frame_path is not null and media_path is not null group by 1),
+        it as (select distinct c.cluster_id as c, coalesce(fr.m, c.media_path) as f from cluster_file c left join fr on c.media_path = fr.frame_path
+               where c.cluster_id is not null and c.media_path is not null),
+        deg as (select c, count(*) as a from it group by c),
+        total as (select count(distinct f) as n from it),
+        p as (select a.c as c1, b.c as c2, count(*) as n from it a join it b on a.f = b.f and a.c < b.c group by 1, 2)
+        select c1 as cluster_id_1, c2 as cluster_id_2 from p join deg x on x.c = c1 join deg y on y.c = c2, total
+        where p.n >= 5 and p.n * total.n >= 10 * x.a * y.a""",
 }
