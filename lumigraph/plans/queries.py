@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumigraph.plans import skewed
+from lumigraph.plans import media_queries, skewed
 
-QUERIES: dict = {**skewed.QUERIES}
-ORACLE: dict = {**skewed.ORACLE}
+QUERIES: dict = {**media_queries.QUERIES, **skewed.QUERIES}
+ORACLE: dict = {**media_queries.ORACLE, **skewed.ORACLE}
