@@ -45,10 +45,10 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", so
     def run(batches):
         count = encoder(path, pattern)
         for b in batches:
-            n = [count(t) if t else 0 for t in b.column(2).to_pylist()]
+            n = [count(t) if t and not t.isspace() else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.when(F.trim(F.col(text)) != "", F.col(text)).alias("text"))
+    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     return kept.where("doc_id is not null and source is not null").mapInArrow(run, "doc_id long, source string, n_tokens long")
 
 
