@@ -51,9 +51,9 @@ def current_labels(assignment: DataFrame) -> DataFrame:
 
 
 def centroids(faces: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(cluster_id, pos, mean)`` of the faces' vectors, one row a coordinate: a plain aggregate, combined map-side."""
+    """``(cluster_id, pos, total, n, mean)`` of the faces' vectors, one row a coordinate: plain, combined map-side."""
     rows = faces.join(labels, "face_id").select("cluster_id", F.posexplode("encoding").alias("pos", "x"))
-    return rows.groupBy("cluster_id", "pos").agg(F.avg("x").alias("mean"))
+    return rows.groupBy("cluster_id", "pos").agg(F.sum("x").alias("total"), F.count("x").alias("n")).withColumn("mean", F.col("total") / F.col("n"))
 
 
 def centroid_vectors(long: DataFrame) -> DataFrame:

@@ -97,14 +97,14 @@ def dbscan_min_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(LABELS + """, u as (select distinct face_id, encoding from face where len(encoding) = 128 and list_count(encoding) = 128 and isfinite(list_max(encoding)) and isfinite(list_min(encoding)) and (list_max(encoding) <> 0 or list_min(encoding) <> 0)),
     x as (select l.cluster_id, generate_subscripts(u.encoding, 1) - 1 as pos, unnest(u.encoding) as x from u join labels l on u.face_id = l.face_id)
-    select cluster_id, cast(pos as integer) as pos, round(avg(x), 6) as mean from x group by 1, 2""")
+    select cluster_id, cast(pos as integer) as pos, round(sum(x), 3) / count(x) as mean from x group by 1, 2""")
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
     """Mean vectors of the current clusters, one row a coordinate."""
     v = F.col("encoding")
     hi, lo = F.array_max(v), F.array_min(v)
     good = (F.size(v) == 128) & (F.size(F.array_compact(v)) == 128) & ~F.isnan(hi) & (hi < float("inf")) & (lo > -float("inf")) & ((hi != 0) | (lo != 0))
     faces = table(spark, sf, "face").where(good).select("face_id", "encoding").dropDuplicates(["face_id"])
-    return C.centroids(faces, C.current_labels(table(spark, sf, "assignment"))).select("cluster_id", "pos", F.round("mean", 6).alias("mean"))
+    return C.centroids(faces, C.current_labels(table(spark, sf, "assignment"))).select("cluster_id", "pos", (F.round("total", 3) / F.col("n")).alias("mean"))
 
 
 @query(f"with c as (select cluster_id, any_value(vec) as v from centroid where vec is not null and len(vec) = 128 group by 1) select a.cluster_id as id1, b.cluster_id as id2 from c a join c b on a.cluster_id < b.cluster_id and list_distance(a.v, b.v) < {MERGE}")

@@ -19,7 +19,7 @@ def rows(df):
             df[c] = df[c].astype("datetime64[us]").astype(str)
         elif kind.startswith("float"):
             df[c] = df[c].round(6)
-        df[c] = df[c].map(lambda v: "" if v is None or v != v else str(v)).str.replace(r"\.0$", "", regex=True)
+        df[c] = df[c].map(lambda v: "" if v is None or v != v else str(v)).astype(str).str.replace(r"\.0$", "", regex=True)
     return sorted(map(tuple, df.values.tolist()))
 
 
