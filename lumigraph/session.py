@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +59,25 @@ def drop_cut(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their search path holds it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if getattr(sc, "_lumigraph_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    d = tempfile.mkdtemp(prefix="lumigraph-")  # the driver serves the file from there as long as it runs
+    atexit.register(shutil.rmtree, d, True)
+    name = os.path.join(d, f"lumigraph-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(os.path.dirname(os.path.abspath(__file__))):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    sc.addPyFile(name)
+    sc._lumigraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
