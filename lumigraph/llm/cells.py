@@ -133,7 +133,7 @@ class Space:
 def sample(rows: DataFrame, total: int, dims: int, size: int = SAMPLE_ROWS) -> np.ndarray:
     """At most about ``size`` distinct vectors, chosen by their hash; for fitting only."""
     share = min(1.0, size / max(total, 1))
-    kept = rows.where(F.pmod("g", F.lit(1_000_000)) < round(share * 1_000_000)).select("h", "vec").limit(2 * size)
+    kept = rows.where(F.pmod("g", F.lit(1 << 40)) < max(1, round(share * (1 << 40)))).select("h", "vec").limit(2 * size)
     t = kept.toArrow()
     m = matrix(t["vec"], dims)
     _, first = np.unique(t["h"].to_numpy(), return_index=True)
