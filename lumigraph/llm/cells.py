@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_ROWS = 16_000  # bound of the sample that pivots and codebooks are fitted on
-MAX_PIVOTS = 8_192
+MAX_PIVOTS = 4_000  # their distances, at most 64 MB, are broadcast
 SEED = 20_011
 
 
@@ -140,7 +140,7 @@ def sample(rows: DataFrame, total: int, dims: int, size: int = SAMPLE_ROWS) -> n
     return m[first]
 
 
-def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows: int = 400, block_rows: int = 60_000) -> Space:
+def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows: int = 400, block_rows: int = 100_000) -> Space:
     """Pivots for about ``cell_rows`` vectors a cell, from ``data``, a sample of ``total`` vectors."""
     rng = np.random.default_rng(SEED)
     mean = data.mean(0) if len(data) else np.zeros(data.shape[1])
@@ -176,6 +176,22 @@ def _apart(p: np.ndarray, least: float) -> np.ndarray:
     return p[keep]
 
 
+CROWDED = 12_000  # rows of a cell beyond which it is divided again, in place
+
+
+def parts(m: np.ndarray, margin: float, crowded: int | None = None) -> list[np.ndarray] | None:
+    """Row numbers of the smaller cells that a crowded cell divides into; None if it is not, or cannot be, divided."""
+    if len(m) <= (crowded or CROWDED):
+        return None
+    rng = np.random.default_rng(SEED)
+    space = fit(m[rng.permutation(len(m))[:SAMPLE_ROWS]], len(m), margin)
+    if len(space.pivots) < 2:
+        return None
+    rows, cell = space.place(m)
+    order = np.argsort(cell, kind="stable")
+    return np.split(rows[order], 1 + np.flatnonzero(np.diff(cell[order])))
+
+
 CELL_ROWS = "cell long, id long, code binary"
 
 

@@ -144,6 +144,21 @@ class _Encoder:
         return books.encode((m - books.mean).astype(np.float32))
 
 
+def cell_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`near_pairs`, by smaller cells where there are very many rows."""
+    inner = cells.parts(m, margin)
+    if inner is None:
+        return near_pairs(m, codes, books, limit)
+    found = []
+    for rows in inner:
+        rows = np.sort(rows)
+        i, j, d = near_pairs(m[rows], codes[rows], books, limit)
+        found.append((rows[i], rows[j], d))
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    _, first = np.unique(i * len(m) + j, return_index=True)  # of pairs met in several cells one
+    return i[first], j[first], d[first]
+
+
 def _top(src: np.ndarray, dst: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     """Row numbers of the ``k`` smallest (d, dst) of every src."""
     order = np.lexsort((dst, d, src))
@@ -165,7 +180,8 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     rows = cells.prepare(df, id_col, vec, dims)
     total = rows.count()
     data = cells.sample(rows, total, dims)
-    space = cells.fit(data, total, MARGIN * limit / 0.6 if margin is None else margin, cell_rows=cell_rows)
+    margin = MARGIN * limit / 0.6 if margin is None else margin
+    space = cells.fit(data, total, margin, cell_rows=cell_rows)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(train(data))  # BOOKS * WORDS codewords
     encoder = spark.sparkContext.broadcast(_Encoder(shared))
@@ -176,7 +192,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     def run(t: pa.Table) -> pa.Table:
         start, ids, m, codes = cells.distinct_vectors(t, dims, BOOKS)
         count = np.minimum(np.diff(np.append(start, len(ids))), k + 1)  # k + 1 copies serve any id
-        i, j, d = near_pairs(m, codes, shared.value, limit)
+        i, j, d = cell_pairs(m, codes, shared.value, limit, margin)
         copied = np.flatnonzero(count > 1)
         i, j, d = np.concatenate([i, j, copied]), np.concatenate([j, i, copied]), np.concatenate([d, d, np.zeros(len(copied))])
         best = _top(i, ids[start[j]], d, k + 1)  # each of these vectors has at least one id

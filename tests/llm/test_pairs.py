@@ -195,3 +195,18 @@ def test_surprise_of_planted_pairs(spark):
     empty = links.where("false")
     assert together.surprise(empty, together.pair_counts(empty)).count() == 0
     assert {(x.i, x.j) for x in together.frequent(links, counts).collect()} >= {(70, 71)}
+
+
+def test_crowded_cells_are_divided_in_place(monkeypatch):
+    m = vectors(900, 200, seed=8)
+    books = neighbours.train(m)
+    codes = books.encode((m - books.mean).astype(np.float32))
+    want, pairs = clusters.local_roots(m, 0.6), neighbours.near_pairs(m, codes, books, 0.6)
+    monkeypatch.setattr(cells, "CROWDED", 300)
+    assert len(cells.parts(m, 0.06)) > 1 and cells.parts(m[:300], 0.06) is None
+    assert (clusters.roots(m, 0.6, 0.06) == want).all()
+    got = neighbours.cell_pairs(m, codes, books, 0.6, 0.06)
+    true = set(zip(pairs[0].tolist(), pairs[1].tolist()))
+    assert set(zip(got[0].tolist(), got[1].tolist())) <= true and len(got[0]) >= 0.995 * len(true)
+    same = np.tile(m[:1], (400, 1))
+    assert cells.parts(same, 0.06) is None
