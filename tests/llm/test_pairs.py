@@ -210,3 +210,18 @@ def test_crowded_cells_are_divided_in_place(monkeypatch):
     assert set(zip(got[0].tolist(), got[1].tolist())) <= true and len(got[0]) >= 0.995 * len(true)
     same = np.tile(m[:1], (400, 1))
     assert cells.parts(same, 0.06) is None
+
+
+@pytest.mark.parametrize("margin", [clusters.MARGIN, neighbours.MARGIN])
+def test_margins_in_use_keep_the_links(margin):
+    g = np.random.default_rng(21)
+    mid = g.normal(0, np.linspace(0.155, 0.075, D), (8000, D))  # spread as the faces of the test tables
+    seen = np.round(mid + g.normal(0, 0.036, mid.shape), 3)
+    m = np.round(np.repeat(mid, 2, axis=0) + g.normal(0, 0.036, (16_000, D)), 3)
+    rows, cell = cells.fit(seen, 40_000, margin).place(m)
+    met = [set() for _ in m]
+    for r, c in zip(rows.tolist(), cell.tolist()):
+        met[r].add(c)
+    pairs = [(p, p + 1) for p in range(0, len(m), 2) if ((m[p] - m[p + 1]) ** 2).sum() <= 0.36]
+    lost = sum(not met[i] & met[j] for i, j in pairs)
+    assert len(pairs) > 6_000 and lost <= 0.002 * len(pairs)
