@@ -176,20 +176,21 @@ def _apart(p: np.ndarray, least: float) -> np.ndarray:
     return p[keep]
 
 
-CROWDED = 12_000  # rows of a cell beyond which it is divided again, in place
+CROWDED = 12_000  # rows of a cell beyond which it is compared block by block
 
 
-def parts(m: np.ndarray, margin: float, crowded: int | None = None) -> list[np.ndarray] | None:
-    """Row numbers of the smaller cells that a crowded cell divides into; None if it is not, or cannot be, divided."""
-    if len(m) <= (crowded or CROWDED):
-        return None
-    rng = np.random.default_rng(SEED)
-    space = fit(m[rng.permutation(len(m))[:SAMPLE_ROWS]], len(m), margin)
-    if len(space.pivots) < 2:
+def parts(m: np.ndarray, margin: float | None = None, crowded: int | None = None) -> list[tuple[np.ndarray, int]] | None:
+    """The pairs of blocks of a crowded cell, so that every two rows meet exactly once; None if it need not be divided.
+
+    Each part is its row numbers, ascending within a block, and how many of them are the first block's, 0 for one block alone.
+    All pairs are covered whatever ``margin`` says.
+    """
+    most = crowded or CROWDED
+    if len(m) <= most or (m == m[0]).all():
         return None
-    rows, cell = space.place(m)
-    order = np.argsort(cell, kind="stable")
-    return np.split(rows[order], 1 + np.flatnonzero(np.diff(cell[order])))
+    half = max(1, most // 2)
+    blocks = [np.arange(s, min(len(m), s + half)) for s in range(0, len(m), half)]
+    return [(np.concatenate([a, b]), len(a)) if a is not b else (a, 0) for i, a in enumerate(blocks) for b in blocks[i:]]
 
 
 CELL_ROWS = "cell long, id long, code binary"

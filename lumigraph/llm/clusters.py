@@ -20,19 +20,23 @@ EPS = 0.6
 MARGIN = 0.06  # of EPS = 0.6; tests measure the share of links it keeps
 
 
-def local_roots(m: np.ndarray, eps: float, chunk: int = 1024) -> np.ndarray:
-    """Row numbers -> the smallest row number linked to it within ``eps``; exact, memory is ``chunk`` x rows."""
+def local_roots(m: np.ndarray, eps: float, chunk: int = 1024, first: int = 0) -> np.ndarray:
+    """Row numbers -> the smallest row number linked to it within ``eps``; exact, memory is ``chunk`` x rows.
+
+    With ``first``, only pairs of one of the first so many rows and one of the others are compared.
+    """
     n = len(m)
     lab = np.arange(n)
     f = m.astype(np.float32)
     sq = (f * f).sum(1)
     slack = 1e-4 * max(1.0, float(sq.max(initial=0.0)))
     e2 = eps * eps
-    for s in range(0, n, chunk):
-        d2 = sq[s : s + chunk, None] + sq[s:] - 2 * (f[s : s + chunk] @ f[s:].T)
+    for s in range(0, first or n, chunk):
+        e, t = min(first or n, s + chunk), first or s
+        d2 = sq[s:e, None] + sq[t:] - 2 * (f[s:e] @ f[t:].T)
         a, b = np.nonzero(d2 <= e2 + slack)
         near = d2[a, b] > e2 - slack
-        a, b = a + s, b + s
+        a, b = a + s, b + t
         keep = a < b
         if near.any():
             x = np.flatnonzero(near & keep)
@@ -59,15 +63,14 @@ def _joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-def roots(m: np.ndarray, eps: float, margin: float) -> np.ndarray:
-    """:func:`local_roots`, by smaller cells where there are very many rows."""
+def roots(m: np.ndarray, eps: float, margin: float | None = None) -> np.ndarray:
+    """:func:`local_roots`, by pairs of blocks where there are very many rows; exact whatever ``margin`` says."""
     inner = cells.parts(m, margin)
     if inner is None:
         return local_roots(m, eps)
     lab = np.arange(len(m))
-    for rows in inner:
-        rows = np.sort(rows)
-        lab = _joined(lab, rows, rows[local_roots(m[rows], eps)])
+    for rows, first in inner:
+        lab = _joined(lab, rows, rows[local_roots(m[rows], eps, first=first)])
     return lab
 
 
@@ -91,7 +94,7 @@ def cluster(df: DataFrame, id_col: str, vec: str, eps: float = EPS, dims: int =
         start, ids, m, _ = cells.distinct_vectors(t, dims)
         rep = ids[start]
         order = np.argsort(rep, kind="stable")  # so that the smallest row number is the smallest id
-        lab = roots(m[order], eps, margin)
+        lab = roots(m[order], eps)
         size = np.bincount(lab, minlength=len(lab))
         many = size[lab] > 1
         return pa.table({"rep": rep[order][many], "root": rep[order][lab[many]]}, schema=pa.schema([("rep", pa.int64()), ("root", pa.int64())]))

@@ -91,8 +91,11 @@ def train(data: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return b
 
 
-def near_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs ``i < j`` of rows at a distance below ``limit``, rounded to six decimals: scored by tables, then exact."""
+def near_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, chunk: int = 512, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``i < j`` of rows at a distance below ``limit``, rounded to six decimals: scored by tables, then exact.
+
+    With ``first``, only pairs of one of the first so many rows and one of the others are compared.
+    """
     n, k = len(m), len(books.words) // books.books
     x = (m - books.mean).astype(np.float32)
     codes = codes.astype(np.int64)
@@ -106,19 +109,20 @@ def near_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, chu
     # look-up tables by codeword, so that one code copies the scores of all queries of a block
     table = books.words @ x.T
     ii, jj, dd = [], [], []
-    for s in range(0, n, chunk):
-        e = min(n, s + chunk)
+    for s in range(0, first or n, chunk):
+        e, t = min(first or n, s + chunk), first or s
         part = np.ascontiguousarray(table[:, s:e])
-        score = part[codes[s:, 0]]
+        score = part[codes[t:, 0]]
         for b in range(1, books.books):
-            score += part[codes[s:, b] + b * k]
-        score *= (-2 * scale[s:])[:, None]
+            score += part[codes[t:, b] + b * k]
+        score *= (-2 * scale[t:])[:, None]
         score += norm[s:e]
-        score += (norm - allowed)[s:, None]
+        score += (norm - allowed)[t:, None]
         hit = np.flatnonzero((score <= 0).reshape(-1))
         c, a = np.divmod(hit, e - s)
+        a, c = a + s, c + t
         keep = a < c
-        a, c = a[keep] + s, c[keep] + s
+        a, c = a[keep], c[keep]
         for o in range(0, len(a), 100_000):
             p, q = a[o : o + 100_000], c[o : o + 100_000]
             d = x[p] - x[q]
@@ -144,19 +148,17 @@ class _Encoder:
         return books.encode((m - books.mean).astype(np.float32))
 
 
-def cell_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`near_pairs`, by smaller cells where there are very many rows."""
+def cell_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, margin: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`near_pairs`, by pairs of blocks where there are very many rows; the same pairs whatever ``margin`` says."""
     inner = cells.parts(m, margin)
     if inner is None:
         return near_pairs(m, codes, books, limit)
     found = []
-    for rows in inner:
-        rows = np.sort(rows)
-        i, j, d = near_pairs(m[rows], codes[rows], books, limit)
+    for rows, first in inner:
+        i, j, d = near_pairs(m[rows], codes[rows], books, limit, first=first)
         found.append((rows[i], rows[j], d))
     i, j, d = (np.concatenate(x) for x in zip(*found))
-    _, first = np.unique(i * len(m) + j, return_index=True)  # of pairs met in several cells one
-    return i[first], j[first], d[first]
+    return i, j, d
 
 
 def _top(src: np.ndarray, dst: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
@@ -192,7 +194,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     def run(t: pa.Table) -> pa.Table:
         start, ids, m, codes = cells.distinct_vectors(t, dims, BOOKS)
         count = np.minimum(np.diff(np.append(start, len(ids))), k + 1)  # k + 1 copies serve any id
-        i, j, d = cell_pairs(m, codes, shared.value, limit, margin)
+        i, j, d = cell_pairs(m, codes, shared.value, limit)
         copied = np.flatnonzero(count > 1)
         i, j, d = np.concatenate([i, j, copied]), np.concatenate([j, i, copied]), np.concatenate([d, d, np.zeros(len(copied))])
         best = _top(i, ids[start[j]], d, k + 1)  # each of these vectors has at least one id

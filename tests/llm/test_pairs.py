@@ -225,3 +225,15 @@ def test_margins_in_use_keep_the_links(margin):
     pairs = [(p, p + 1) for p in range(0, len(m), 2) if ((m[p] - m[p + 1]) ** 2).sum() <= 0.36]
     lost = sum(not met[i] & met[j] for i, j in pairs)
     assert len(pairs) > 6_000 and lost <= 0.002 * len(pairs)
+
+
+def test_crowded_cells_lose_no_pair(monkeypatch):
+    m = vectors(2000, 500, seed=9)
+    books = neighbours.train(m)
+    codes = books.encode((m - books.mean).astype(np.float32))
+    want, pairs = clusters.local_roots(m, 0.6), neighbours.near_pairs(m, codes, books, 0.6)
+    monkeypatch.setattr(cells, "CROWDED", 300)
+    for margin in (0.0, clusters.MARGIN):
+        assert (clusters.roots(m, 0.6, margin) == want).all()
+        got = neighbours.cell_pairs(m, codes, books, 0.6, margin)
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in pairs)))
