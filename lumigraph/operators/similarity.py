@@ -24,27 +24,33 @@ def distance_join(df: DataFrame, id_col: str, vec: str, limit: float, strict: bo
 
     def run(t: pa.Table) -> pa.Table:
         ids, first = np.unique(t["id"].to_numpy(), return_index=True)
-        vecs = [np.asarray(v, float) for v in t["v"].take(pa.array(first)).to_pylist()]
-        low = t["low"].to_numpy()[first] if hasattr(t["low"], "to_numpy") else None
+        v = t["v"].combine_chunks().take(pa.array(first))
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        low = t["low"].to_numpy()[first]
         same = t["x"][0].as_py() == t["y"][0].as_py()
-        lengths = np.array([len(v) for v in vecs])
+        lengths, values = v.value_lengths().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float)
+        begin = np.cumsum(lengths) - lengths
         out = [[], [], []]
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
-            m = np.stack([vecs[i] for i in at])
+            cut_at = len(at)
+            if not same:  # the rows of one block first: they meet those of the other only
+                at = np.concatenate([at[low[at]], at[~low[at]]])
+                cut_at = int(low[at].sum())
+            m = values[begin[at][:, None] + np.arange(d)]
             sq = (m * m).sum(1)
-            for s in range(0, len(at), 512):
-                d2 = sq[s : s + 512, None] + sq[s:] - 2 * m[s : s + 512] @ m[s:].T
+            for s in range(0, cut_at, 512):
+                e, o = min(s + 512, cut_at), s if same else cut_at
+                d2 = sq[s:e, None] + sq[o:] - 2 * m[s:e] @ m[o:].T
                 p, q = np.nonzero(d2 <= limit * limit + 1e-6 * (1 + sq.max()))
-                p, q = p + s, q + s
+                p, q = p + s, q + o
                 keep = p < q
-                if not same:
-                    keep &= low[at[p]] != low[at[q]]
                 p, q = p[keep], q[keep]
                 dist = np.sqrt(((m[p] - m[q]) ** 2).sum(1))
                 ok = dist < limit if strict else dist <= limit
-                out[0].append(ids[at[p[ok]]])
-                out[1].append(ids[at[q[ok]]])
+                i, j = ids[at[p[ok]]], ids[at[q[ok]]]
+                out[0].append(np.minimum(i, j))
+                out[1].append(np.maximum(i, j))
                 out[2].append(dist[ok])
         z = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"i": pa.array(z[0].astype(np.int64)), "j": pa.array(z[1].astype(np.int64)), "d": pa.array(z[2].astype(float))})

@@ -14,6 +14,7 @@ from lumigraph.sources import media as M
 from lumigraph.session import table
 
 EPS = 1.10
+FACE_EPS = 0.6  # the reference's for its default detector (app.py:483)
 MERGE = 0.6
 IMAGE_SIDE = 1500
 QUERIES: dict = {}
@@ -95,16 +96,53 @@ def dbscan_min_samples(spark: SparkSession, sf: str) -> DataFrame:
     return C.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", EPS, 3).select(F.col("id").alias("face_id"), "cluster_id")
 
 
+# the same over the faces themselves; without SQL, which takes too long there
+
+
+def _usable_faces(spark: SparkSession, sf: str) -> DataFrame:
+    """``(face_id, encoding)``, one row a face: 128 finite values, not all zero."""
+    v = F.col("encoding")
+    hi, lo = F.array_max(v), F.array_min(v)
+    good = (F.size(v) == 128) & (F.size(F.array_compact(v)) == 128) & ~F.isnan(hi) & (hi < float("inf")) & (lo > -float("inf")) & ((hi != 0) | (lo != 0))
+    return table(spark, sf, "face").where(good).select("face_id", "encoding").dropDuplicates(["face_id"])
+
+
+def _face_clusters(spark: SparkSession, sf: str, min_samples: int = 1) -> DataFrame:
+    return C.dbscan(_usable_faces(spark, sf), "face_id", "encoding", FACE_EPS, min_samples).select(F.col("id").alias("face_id"), "cluster_id")
+
+
+@query()
+def face_eps_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return distance_join(_usable_faces(spark, sf), "face_id", "encoding", FACE_EPS).select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query()
+def face_cluster_faces(spark: SparkSession, sf: str) -> DataFrame:
+    return _face_clusters(spark, sf)
+
+
+@query()
+def face_cluster_count(spark: SparkSession, sf: str) -> DataFrame:
+    return _face_clusters(spark, sf).agg(F.countDistinct("cluster_id").alias("n_clusters"))
+
+
+@query()
+def face_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    n = _face_clusters(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n_faces"))
+    return n.select("cluster_id", N.person(F.col("cluster_id")).alias("person"), "n_faces")
+
+
+@query()
+def face_dbscan_min_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _face_clusters(spark, sf, 3)
+
+
 @query(LABELS + """, u as (select distinct face_id, encoding from face where len(encoding) = 128 and list_count(encoding) = 128 and isfinite(list_max(encoding)) and isfinite(list_min(encoding)) and (list_max(encoding) <> 0 or list_min(encoding) <> 0)),
     x as (select l.cluster_id, generate_subscripts(u.encoding, 1) - 1 as pos, unnest(u.encoding) as x from u join labels l on u.face_id = l.face_id)
     select cluster_id, cast(pos as integer) as pos, round(sum(x), 3) / count(x) as mean from x group by 1, 2""")
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
     """Mean vectors of the current clusters, one row a coordinate."""
-    v = F.col("encoding")
-    hi, lo = F.array_max(v), F.array_min(v)
-    good = (F.size(v) == 128) & (F.size(F.array_compact(v)) == 128) & ~F.isnan(hi) & (hi < float("inf")) & (lo > -float("inf")) & ((hi != 0) | (lo != 0))
-    faces = table(spark, sf, "face").where(good).select("face_id", "encoding").dropDuplicates(["face_id"])
-    return C.centroids(faces, C.current_labels(table(spark, sf, "assignment"))).select("cluster_id", "pos", (F.round("total", 3) / F.col("n")).alias("mean"))
+    return C.centroids(_usable_faces(spark, sf), C.current_labels(table(spark, sf, "assignment"))).select("cluster_id", "pos", (F.round("total", 3) / F.col("n")).alias("mean"))
 
 
 @query(f"with c as (select cluster_id, any_value(vec) as v from centroid where vec is not null and len(vec) = 128 group by 1) select a.cluster_id as id1, b.cluster_id as id2 from c a join c b on a.cluster_id < b.cluster_id and list_distance(a.v, b.v) < {MERGE}")

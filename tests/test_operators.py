@@ -182,3 +182,33 @@ def test_streamed_uploads(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.path, r.kind) for r in spark.table("up").collect()} == {("/a/x.jpg", "image"), ("/a/y.MP4", "video")}
+
+
+def test_faces_are_clustered(spark, tmp_path):
+    from lumigraph.plans import queries as core
+
+    g = np.random.default_rng(3)
+    m = np.round(np.repeat(g.normal(0, 0.12, (40, 128)), 4, axis=0) + g.normal(0, 0.037, (160, 128)), 3)
+    bad = [None, [], [0.1] * 64, [0.0] * 128, [float("nan")] + [0.1] * 127, [None] + [0.1] * 127, [float("inf")] + [0.1] * 127]
+    faces = [(3 * k + 1, v.tolist()) for k, v in enumerate(m)]
+    rows = faces + faces[:5] + [(5000 + k, v) for k, v in enumerate(bad)] + [(None, m[0].tolist())]
+    spark.createDataFrame(rows, "face_id long, encoding array<double>").write.parquet(f"{tmp_path}/face.parquet")
+    run = lambda name: core.QUERIES[name](spark, str(tmp_path)).collect()
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    near = d <= 0.6
+    assert {(r.i, r.j, r.d) for r in run("face_eps_edges")} == {(3 * i + 1, 3 * j + 1, round(float(d[i, j]), 6)) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+
+    def grouped(core_points):
+        root = {i: i for i in core_points}
+        for _ in root:
+            root = {i: min(root[j] for j in core_points if near[i, j]) for i in core_points}
+        rank = {r: k for k, r in enumerate(sorted(set(root.values())))}
+        return {i: rank[r] for i, r in root.items()}
+
+    want = grouped(range(len(m)))
+    assert {r.face_id: r.cluster_id for r in run("face_cluster_faces")} == {3 * i + 1: c for i, c in want.items()}
+    assert run("face_cluster_count")[0].n_clusters == len(set(want.values()))
+    assert {r.cluster_id: r.n_faces for r in run("face_cluster_sizes")} == {c: list(want.values()).count(c) for c in set(want.values())}
+    dense = grouped([i for i in range(len(m)) if near[i].sum() >= 3])
+    border = lambda i: min((dense[j] for j in dense if near[i, j]), default=-1)
+    assert {r.face_id: r.cluster_id for r in run("face_dbscan_min_samples")} == {3 * i + 1: dense.get(i, border(i)) for i in range(len(m))}
