@@ -40,6 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, in whatever file system."""
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -54,9 +65,8 @@ def drop_cut(df: DataFrame | None) -> None:
     """Delete the files of a table made by :func:`cut` that no later step reads."""
     path = getattr(df, "_lumigraph_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
