@@ -1,24 +1,30 @@
 """Cells of vector space with overlapping margins: the partitioning that clustering and neighbour search share.
 
-A bounded sample gives a mean, the leading principal directions and k-means pivots of the reduced vectors; every
-vector goes to the cell of its nearest pivot and, as a margin copy, to each cell whose bisecting plane is within
-``margin`` of it.  Two vectors that a plane divides then still meet in a cell unless they lie further apart along
-its normal than twice the margin.  Every row is placed, none is sampled away: only the pivots come from the sample.
+A bounded sample gives a mean, the leading principal directions and k-means pivots of the reduced vectors.  Every
+vector goes, whole, to the cell of its nearest pivot, its home; to each cell whose bisecting plane is within ``margin``
+of it goes only a sketch of a few bytes.  A cell compares its vectors with the sketches that lie over from other
+cells.  A sketch bounds the distance from below, so no pair within the limit is passed over; where one may be within
+it, the cell sends its own vector to the home of the other, which then holds both and measures exactly.  Two vectors of
+different cells are missed only if they lie further apart along the normal of the dividing plane than twice the
+margin.  Every row is placed, none is sampled away: only the pivots come from the sample.
 
 A cell that the sample expects to outgrow ``block_rows`` is split into blocks whose pairs are the tasks, so a hot
-cell is many tasks.  Copies of one vector are collapsed before the shuffle.
+cell is many tasks and all its pairs are covered.  Copies of one vector are collapsed before the shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_ROWS = 16_000  # bound of the sample that pivots and codebooks are fitted on
-MAX_PIVOTS = 4_000  # their distances, at most 64 MB, are broadcast
+SAMPLE_ROWS = 65_536  # bound of the sample that pivots and codebooks are fitted on
+MAX_PIVOTS = 16_384  # at most 6 MB broadcast
+PART_ROWS = 200_000  # vectors a shuffle partition
+FLUSH_ROWS = 32_768  # rows whose segments are written together
 SEED = 20_011
 
 
@@ -110,44 +116,73 @@ class Space:
     mean: np.ndarray
     axes: np.ndarray
     pivots: np.ndarray
-    gaps: np.ndarray  # distance of every two pivots
     blocks: np.ndarray
     margin: float
-
-    def place(self, m: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and cells, home and margin."""
-        rows, cells = [], []
+    _gaps: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_gaps": {}}
+
+    def reduce(self, m: np.ndarray) -> np.ndarray:
+        return ((m - self.mean) @ self.axes).astype(np.float32)
+
+    def gaps(self, homes: np.ndarray) -> np.ndarray:
+        """Distances of the pivots ``homes`` from all pivots; kept where all fit into 64 MB."""
+        p = self.pivots
+        if len(p) <= 4096:
+            if "all" not in self._gaps:
+                self._gaps["all"] = _distances(p, p)
+            return self._gaps["all"][homes]
+        own, at = np.unique(homes, return_inverse=True)
+        return _distances(p[own], p)[at]
+
+    def place(self, y: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of reduced vectors: their homes, and the row numbers and cells of their margins."""
+        rows, cells, homes = [], [], []
         p2 = (self.pivots**2).sum(1)
-        for s in range(0, len(m), chunk):
-            y = ((m[s : s + chunk] - self.mean) @ self.axes).astype(np.float32)
-            d2 = p2 - 2 * (y @ self.pivots.T)
+        for s in range(0, len(y), chunk):
+            d2 = p2 - 2 * (y[s : s + chunk] @ self.pivots.T)
+            n = np.arange(len(d2))
             home = d2.argmin(1)
-            near = d2 - d2[np.arange(len(y)), home][:, None] <= 2 * self.margin * self.gaps[home]
-            near[np.arange(len(y)), home] = True
+            near = d2 - d2[n, home][:, None] <= 2 * self.margin * self.gaps(home)
+            near[n, home] = False
             r, c = np.nonzero(near)
             rows.append(r + s)
             cells.append(c)
-        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cells or [np.zeros(0, int)])
+            homes.append(home)
+        z = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x or [z]) for x in (homes, rows, cells))
+
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0)).astype(np.float32)
 
-def sample(rows: DataFrame, total: int, dims: int, size: int = SAMPLE_ROWS) -> np.ndarray:
-    """At most about ``size`` distinct vectors, chosen by their hash; for fitting only."""
+
+def sample(df: DataFrame, id_col: str, vec: str, dims: int, total: int, size: int) -> np.ndarray:
+    """At most ``size`` distinct usable vectors, by the hash of their ids, in the order of their own; for fitting only."""
     share = min(1.0, size / max(total, 1))
-    kept = rows.where(F.pmod("g", F.lit(1 << 40)) < max(1, round(share * (1 << 40)))).select("h", "vec").limit(2 * size)
-    t = kept.toArrow()
-    m = matrix(t["vec"], dims)
-    _, first = np.unique(t["h"].to_numpy(), return_index=True)
-    return m[first]
+    few = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 40)) < max(1, round(share * (1 << 40))))
+    kept = prepare(few, id_col, vec, dims).select("h", "g", "vec").dropDuplicates(["h", "g"]).orderBy("g", "h").limit(size)
+    return matrix(kept.select("vec").toArrow()["vec"], dims)
+
 
+def pivot_number(total: int, cell_rows: int) -> int:
+    return int(np.clip(round(total / cell_rows), 1, MAX_PIVOTS))
 
-def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows: int = 400, block_rows: int = 100_000) -> Space:
+
+def sample_size(total: int, cell_rows: int) -> int:
+    """Four vectors a pivot, and enough for codebooks."""
+    return min(SAMPLE_ROWS, max(16_000, 4 * pivot_number(total, cell_rows)))
+
+
+def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows: int = 400, block_rows: int = 20_000) -> Space:
     """Pivots for about ``cell_rows`` vectors a cell, from ``data``, a sample of ``total`` vectors."""
     rng = np.random.default_rng(SEED)
     mean = data.mean(0) if len(data) else np.zeros(data.shape[1])
     _, axes = np.linalg.eigh(np.cov((data - mean).T) if len(data) > 1 else np.eye(data.shape[1]))
     axes = axes[:, ::-1][:, : min(dims, data.shape[1])]
     y = ((data - mean) @ axes).astype(np.float32)
-    k = int(np.clip(round(total / cell_rows), 1, min(MAX_PIVOTS, max(1, len(y) // 4))))
+    k = min(pivot_number(total, cell_rows), max(1, len(y) // 4))
     p = y[rng.choice(len(y), k, replace=False)] if len(y) else np.zeros((1, axes.shape[1]), np.float32)
     for _ in range(6 if len(y) else 0):
         a = _nearest(y, p)
@@ -155,11 +190,9 @@ def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows:
         sums = np.add.reduceat(y[order], np.concatenate([[0], np.cumsum(n[n > 0])[:-1]]), axis=0)
         p = (sums / n[n > 0][:, None]).astype(np.float32)
     p = _apart(p, 2 * margin)
-    gaps = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (p**2).sum(1) - 2 * p @ p.T, 0)).astype(np.float32)
-    plain = Space(mean, axes, p, gaps, np.ones(len(p), int), margin)
-    _, cells = plain.place(data) if len(data) else ((), np.zeros(0, int))
-    expected = np.bincount(cells, minlength=len(p)) * (total / max(len(data), 1))
-    return Space(mean, axes, p, gaps, np.maximum(1, np.ceil(expected / block_rows)).astype(int), margin)
+    held = np.bincount(_nearest(y, p), minlength=len(p)) if len(y) else np.ones(len(p))
+    expected = held * (total / max(len(y), 1))
+    return Space(mean, axes, p, np.maximum(1, np.ceil(expected / block_rows)).astype(np.int64), margin)
 
 
 def _nearest(y: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -169,47 +202,178 @@ def _nearest(y: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _apart(p: np.ndarray, least: float) -> np.ndarray:
     """Pivots no two of which are closer than ``least``: those within a dense spot would only share all their rows."""
-    keep: list[int] = []
+    keep = np.zeros(len(p), bool)
     for i in range(len(p)):
-        if not keep or ((p[keep] - p[i]) ** 2).sum(1).min() >= least * least:
-            keep.append(i)
+        keep[i] = not keep[:i].any() or ((p[:i][keep[:i]] - p[i]) ** 2).sum(1).min() >= least * least
     return p[keep]
 
 
-CROWDED = 12_000  # rows of a cell beyond which it is compared block by block
+# ---------------------------------------------------------------- sketches
 
 
-def parts(m: np.ndarray, margin: float | None = None, crowded: int | None = None) -> list[tuple[np.ndarray, int]] | None:
-    """The pairs of blocks of a crowded cell, so that every two rows meet exactly once; None if it need not be divided.
+class Sketch(Protocol):
+    """What a margin copy carries instead of its vector."""
 
-    Each part is its row numbers, ascending within a block, and how many of them are the first block's, 0 for one block alone.
-    All pairs are covered whatever ``margin`` says.
-    """
-    most = crowded or CROWDED
-    if len(m) <= most or (m == m[0]).all():
-        return None
-    half = max(1, most // 2)
-    blocks = [np.arange(s, min(len(m), s + half)) for s in range(0, len(m), half)]
-    return [(np.concatenate([a, b]), len(a)) if a is not b else (a, 0) for i, a in enumerate(blocks) for b in blocks[i:]]
+    width: int
 
+    def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Vectors and their reduced forms -> ``(n, width)`` bytes."""
 
-CELL_ROWS = "cell long, id long, code binary"
+    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``m`` and of ``tails`` that may be within ``limit``; none that is may be missing."""
 
 
-def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1, tail=None) -> DataFrame:
-    """Place all rows of :func:`prepare`: one row per cell, block pair and vector, with the vector packed.
+@dataclass(frozen=True)
+class Reduced:
+    """The leading ``kept`` coordinates of the reduced vector in ``1 / steps``, a byte each, and the rounding's norm."""
+
+    space: Space
+    kept: int = 48
+    steps: int = 40
+
+    @property
+    def width(self) -> int:
+        return min(self.kept, self.space.axes.shape[1]) + 4
+
+    def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+        own = y[:, : self.width - 4]
+        q = np.clip(np.rint(own * self.steps), -127, 127).astype(np.int8)
+        lost = np.sqrt(((own - q.astype(np.float32) / self.steps) ** 2).sum(1)).astype(np.float32)
+        return np.concatenate([q.view(np.uint8), lost[:, None].view(np.uint8)], axis=1)
+
+    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        w = self.width - 4
+        q = np.ascontiguousarray(tails[:, :w]).view(np.int8).astype(np.float32) / self.steps
+        lost = np.ascontiguousarray(tails[:, w:]).view(np.float32)[:, 0]
+        y = self.space.reduce(m)[:, :w]
+        # distances of the leading coordinates are no larger than those of the vectors
+        most = (limit + lost) ** 2 - (q * q).sum(1) + 1e-3
+        y2 = (y * y).sum(1)
+        out = [[], []]
+        step = max(1, 4_000_000 // max(len(q), 1))
+        for s in range(0, len(y), step):
+            a, b = np.nonzero(y2[s : s + step, None] - 2 * (y[s : s + step] @ q.T) <= most)
+            out[0].append(a + s)
+            out[1].append(b)
+        return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in out)
+
+
+# ---------------------------------------------------------------- segments: rows of one cell, packed together
+
+SEGMENTS = "cell long, side int, home binary, codes binary"
+_SCHEMA = pa.schema([("cell", pa.int64()), ("side", pa.int32()), ("home", pa.binary()), ("codes", pa.binary())])
+VISITORS = 2
+
+
+def _home_segments(key: np.ndarray, ids: np.ndarray, packed: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """One segment a key: the number of rows, their ids, the ends of their vectors, the vectors."""
+    order = np.argsort(key, kind="stable")
+    key, ids, packed = key[order], ids[order], packed.take(pa.array(order))
+    off = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    data = memoryview(packed.buffers()[2])
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(start[1:], len(key))
+    out = [b"".join((np.int64(e - s).tobytes(), ids[s:e].tobytes(), (off[s + 1 : e + 1] - off[s]).tobytes(), data[off[s] : off[e]])) for s, e in zip(start.tolist(), ends.tolist())]
+    return key[start], out
+
+
+def _code_type(width: int) -> np.dtype:
+    return np.dtype([("id", "<i8"), ("home", "<i4"), ("tail", "u1", (width,))])
+
+
+@dataclass
+class Cell:
+    """The distinct vectors of one part of a cell, whole ones that live there or visit it, and sketches from elsewhere."""
+
+    start: np.ndarray  # where each vector's ids begin
+    ids: np.ndarray  # ascending within a vector
+    m: np.ndarray
+    tails: np.ndarray
+    side: np.ndarray  # of each vector: 0 or 1, of which block pair's block; VISITORS
+    codes: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return self.ids[self.start]
+
+
+def read_cell(tables: list[pa.Table], dims: int, width: int, codes: bool) -> Cell:
+    """The segments of one part."""
+    ids, lens, bodies, sides, found = [], [], [], [], []
+    for t in tables:
+        for side, home, code in zip(t["side"].to_pylist(), t["home"].to_pylist(), t["codes"].to_pylist()):
+            if home:
+                n = int(np.frombuffer(home, "<i8", 1)[0])
+                ids.append(np.frombuffer(home, "<i8", n, 8))
+                ends = np.frombuffer(home, "<i8", n, 8 + 8 * n)
+                lens.append(np.diff(ends, prepend=0))
+                bodies.append(home[8 + 16 * n :])
+                sides.append(np.full(n, side))
+            if codes and code:
+                found.append(np.frombuffer(code, _code_type(width)))
+    kind = _code_type(width)
+    code = np.concatenate(found) if found else np.zeros(0, kind)
+    if not ids:
+        z = np.zeros(0, np.int64)
+        return Cell(z, z, np.zeros((0, dims)), np.zeros((0, width), np.uint8), z, code)
+    ids, sides = np.concatenate(ids), np.concatenate(sides)
+    off = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(b"".join(bodies))])
+    same = packed.dictionary_encode()
+    v = same.indices.to_numpy()
+    order = np.lexsort((ids, v))
+    v, ids, sides = v[order], ids[order], sides[order]
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (ids[1:] != ids[:-1])
+    v, ids, sides = v[fresh], ids[fresh], sides[fresh]
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    m, tails = unpack(same.dictionary, dims, width)
+    return Cell(start, ids, m, tails, np.minimum.reduceat(sides, start), code)
+
+
+def spread(rows: DataFrame, space: Space, sketch: Sketch, dims: int, partitions: int, ids_kept: int = 1) -> DataFrame:
+    """Place all rows of :func:`prepare`: segments of vectors at home and of sketches in the margins.
 
-    ``tail`` (a broadcast function of a matrix) gives bytes that travel with each vector.  Of a vector's copies in a batch, and of hot ones in a task, only the ``ids_kept`` smallest ids go on.
+    Of a vector's copies in a batch, and of hot ones in a task, only the ``ids_kept`` smallest ids go on.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(space)  # at most MAX_PIVOTS pivots and their distances
+    shared = rows.sparkSession.sparkContext.broadcast((space, sketch))  # at most MAX_PIVOTS pivots and a sketch's tables
+
+    def place(ids, h, g, m):
+        sp, sk = shared.value
+        y = sp.reduce(m)
+        home, row, cell = sp.place(y)
+        tails = sk.encode(m, y)
+        packed = pack(m, tails)
+        total = np.concatenate([[0], np.cumsum(sp.blocks * (sp.blocks + 1) // 2)])
+        block = h % sp.blocks[home]
+        own = total[home] + block * (block + 1) // 2 + block  # the part of a vector's own block with itself
+        # at home: to every pair of blocks that this row's block is in
+        k = sp.blocks[home]
+        at = np.repeat(np.arange(len(k)), k)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+        mine = block[at]
+        lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+        part = total[home][at] + hi * (hi + 1) // 2 + lo
+        side = (mine != lo).astype(np.int64)
+        keys, segments = _home_segments(part * 2 + side, ids[at], packed.take(pa.array(at)))
+        yield keys // 2, keys % 2, segments, None
+        # in margins: a sketch to every block of the cell
+        k = sp.blocks[cell]
+        at = np.repeat(np.arange(len(k)), k)
+        b = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+        part, who = total[cell][at] + b * (b + 1) // 2 + b, row[at]
+        order = np.argsort(part, kind="stable")
+        part, who = part[order], who[order]
+        codes = np.empty(len(who), _code_type(sk.width))
+        codes["id"], codes["home"], codes["tail"] = ids[who], own[who], tails[who]
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        ends = np.append(start[1:], len(part))
+        yield part[start], np.zeros(len(start), np.int64), None, [codes[s:e].tobytes() for s, e in zip(start.tolist(), ends.tolist())]
 
     def run(batches):
-        sp: Space = shared.value
-        total = np.concatenate([[0], np.cumsum(sp.blocks * (sp.blocks + 1) // 2)])
         hot: dict[tuple[int, int], list[int]] = {}
-        for b in batches:
-            ids, h, g = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for b in _merged(batches):
+            ids, h, g = (b.column(i).to_numpy() for i in range(3))
             order = np.lexsort((ids, g, h))
             fresh = np.ones(len(order), bool)
             fresh[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]) | (ids[order][1:] != ids[order][:-1])
@@ -230,35 +394,72 @@ def spread(rows: DataFrame, space: Space, dims: int, ids_kept: int = 1, tail=Non
             order = order[keep]
             if not len(order):
                 continue
-            m = matrix(b.column(3), dims)[order]
-            code = pack(m, None if tail is None else tail.value(m))
-            row, cell = sp.place(m)
-            blocks = sp.blocks[cell]
-            if (blocks > 1).any():  # to every pair of blocks that this row's block is in
-                mine = h[order][row] % blocks
-                row, cell, mine = (np.repeat(x, blocks) for x in (row, cell, mine))
-                first = np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
-                other = np.arange(len(row)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-                part = total[cell] + hi * (hi + 1) // 2 + lo
-            else:
-                part = total[cell]
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(ids[order][row]), code.take(pick)], names=["cell", "id", "code"])
-
-    return rows.select("id", "h", "g", "vec").mapInArrow(run, CELL_ROWS)
-
-
-def distinct_vectors(t: pa.Table, dims: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a cell: where each distinct vector's ids start, the ids (ascending within it), the matrix and the tails."""
-    code = t["code"].combine_chunks()
-    code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
-    same = code.dictionary_encode()
-    v, ids = same.indices.to_numpy(), t["id"].to_numpy()
-    order = np.lexsort((ids, v))
-    v, ids = v[order], ids[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (ids[1:] != ids[:-1])
-    v, ids = v[new], ids[new]
-    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
-    return start, ids, *unpack(same.dictionary, dims, extra)
+            vectors = matrix(b.column(3), dims)[order]
+            for cell, side, home, codes in place(ids[order], h[order], g[order], vectors):
+                none = [None] * len(cell)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(side, pa.int32()), pa.array(home or none, pa.binary()), pa.array(codes or none, pa.binary())], schema=_SCHEMA)
+
+    return rows.select("id", "h", "g", "vec").mapInArrow(run, SEGMENTS).repartition(partitions, "cell")
+
+
+def _merged(batches):
+    """Batches of FLUSH_ROWS rows or more, but for the last."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= FLUSH_ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def partitions_for(rows: DataFrame, total: int) -> int:
+    """As many shuffle partitions as the data ask for, and no fewer than the session's."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+
+
+def visitors(placed: DataFrame, sketch: Sketch, dims: int, limit: float, partitions: int) -> DataFrame:
+    """Segments of vectors that may have someone within ``limit`` in another cell, for that cell; each goes there once."""
+    shared = placed.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(t: pa.Table) -> pa.Table:
+        sk: Sketch = shared.value
+        c = read_cell([t], dims, sk.width, True)
+        if not len(c.codes) or not len(c.m):
+            return _SCHEMA.empty_table()
+        a, b = sk.hits(c.m, np.ascontiguousarray(c.codes["tail"]), limit)
+        # all ids of a vector go along
+        to, who = c.codes["home"][b].astype(np.int64), a
+        order = np.lexsort((who, to))
+        to, who = to[order], who[order]
+        fresh = np.ones(len(to), bool)
+        fresh[1:] = (to[1:] != to[:-1]) | (who[1:] != who[:-1])
+        to, who = to[fresh], who[fresh]
+        if not len(to):
+            return _SCHEMA.empty_table()
+        count = np.diff(np.append(c.start, len(c.ids)))
+        at = np.repeat(np.arange(len(who)), count[who])
+        off = np.arange(len(at)) - np.repeat(np.cumsum(count[who]) - count[who], count[who])
+        packed = pack(c.m, c.tails)
+        keys, segments = _home_segments(to[at], c.ids[c.start[who[at]] + off], packed.take(pa.array(who[at])))
+        return pa.table([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), VISITORS), pa.int32()), pa.array(segments, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=_SCHEMA)
+
+    return placed.groupBy("cell").applyInArrow(run, SEGMENTS).repartition(partitions, "cell")
+
+
+def meet(placed: DataFrame, guests: DataFrame, sketch: Sketch, dims: int, run, schema: str) -> DataFrame:
+    """``run(Cell)`` on every part with its own vectors and its visitors."""
+    width = sketch.width
+
+    def both(t: pa.Table, v: pa.Table) -> pa.Table:
+        return run(read_cell([t, v], dims, width, False))
+
+    return placed.groupBy("cell").cogroup(guests.groupBy("cell")).applyInArrow(both, schema)
+
+
+def lanes(c: Cell) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which rows of a part are to be compared with which: its own with each other or, of two blocks, across; and visitors."""
+    own, other, guest = (np.flatnonzero(c.side == k) for k in (0, 1, VISITORS))
+    return [(own, other)] if len(other) else [(own, own), (own, guest)]

@@ -1,8 +1,9 @@
 """Grouping records into similarity clusters: density clustering over cells with overlapping margins.
 
 Vectors are reduced and spread over cells with margins (:mod:`cells`); each cell is clustered on its own with exact
-distances, and local clusters that hold the same core point are one.  With ``min_points=1`` every point is core and
-a cluster is all points linked within ``eps`` directly or through others.
+distances, and local clusters that hold the same core point are one.  A point is core if at least ``min_points``
+points, itself included, lie within ``eps``; with ``min_points=1`` every point is core and a cluster is all points
+linked within ``eps`` directly or through others.
 """
 
 from __future__ import annotations
@@ -13,39 +14,34 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lumigraph.llm import cells
 from lumigraph.llm.boruvka import clean_edges, components
-from lumigraph.session import cut
+from lumigraph.session import cut, drop_cut
 
 DIMS = 128
 EPS = 0.6
-MARGIN = 0.06  # of EPS = 0.6; tests measure the share of links it keeps
+MARGIN = 0.08  # of EPS = 0.6; tests measure the share of links it keeps
+KEPT_AXES = 48  # coordinates of a sketch
 
 
-def local_roots(m: np.ndarray, eps: float, chunk: int = 1024, first: int = 0) -> np.ndarray:
-    """Row numbers -> the smallest row number linked to it within ``eps``; exact, memory is ``chunk`` x rows.
-
-    With ``first``, only pairs of one of the first so many rows and one of the others are compared.
-    """
-    n = len(m)
-    lab = np.arange(n)
+def near_rows(m: np.ndarray, left: np.ndarray, right: np.ndarray, eps: float, block: int = 4_000_000):
+    """Pairs of rows of ``m`` within ``eps``, one of ``left`` and one of ``right`` (once each, if they are the same); exact."""
     f = m.astype(np.float32)
     sq = (f * f).sum(1)
     slack = 1e-4 * max(1.0, float(sq.max(initial=0.0)))
     e2 = eps * eps
-    for s in range(0, first or n, chunk):
-        e, t = min(first or n, s + chunk), first or s
-        d2 = sq[s:e, None] + sq[t:] - 2 * (f[s:e] @ f[t:].T)
+    same = left is right
+    fr, sr = f[right], sq[right]
+    step = max(1, block // max(len(right), 1))
+    for s in range(0, len(left), step):
+        d2 = sq[left[s : s + step], None] + sr - 2 * (f[left[s : s + step]] @ fr.T)
         a, b = np.nonzero(d2 <= e2 + slack)
         near = d2[a, b] > e2 - slack
-        a, b = a + s, b + t
-        keep = a < b
-        if near.any():
-            x = np.flatnonzero(near & keep)
-            for o in range(0, len(x), 50_000):
-                y = x[o : o + 50_000]
-                keep[y] = np.sqrt(((m[a[y]] - m[b[y]]) ** 2).sum(1)) <= eps + 1e-9
-        a, b = a[keep], b[keep]
-        lab = _joined(lab, a, b)
-    return lab
+        keep = a + s < b if same else np.ones(len(a), bool)
+        a, b = left[a + s], right[b]
+        x = np.flatnonzero(near & keep)
+        for o in range(0, len(x), 50_000):
+            y = x[o : o + 50_000]
+            keep[y] = np.sqrt(((m[a[y]] - m[b[y]]) ** 2).sum(1)) <= eps + 1e-9
+        yield a[keep], b[keep]
 
 
 def _joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,56 +59,103 @@ def _joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-def roots(m: np.ndarray, eps: float, margin: float | None = None) -> np.ndarray:
-    """:func:`local_roots`, by pairs of blocks where there are very many rows; exact whatever ``margin`` says."""
-    inner = cells.parts(m, margin)
-    if inner is None:
-        return local_roots(m, eps)
-    lab = np.arange(len(m))
-    for rows, first in inner:
-        lab = _joined(lab, rows, rows[local_roots(m[rows], eps, first=first)])
+def roots(c: cells.Cell, eps: float) -> np.ndarray:
+    """Of the vectors of a part, the one with the smallest id that each is linked to within the part."""
+    lab = np.arange(len(c.m))
+    for left, right in cells.lanes(c):
+        for a, b in near_rows(c.m, left, right, eps):
+            lab = _joined(lab, a, b)
     return lab
 
 
-def _faces(df: DataFrame, id_col: str, vec: str, dims: int) -> DataFrame:
-    return cells.prepare(df, id_col, vec, dims)
+def by_id(c: cells.Cell) -> cells.Cell:
+    """The vectors in the order of their smallest ids, one id each, so that the smallest row number is the smallest id."""
+    order = np.argsort(c.first, kind="stable")
+    return cells.Cell(np.arange(len(order)), c.first[order], c.m[order], c.tails[order], c.side[order], c.codes)
+
 
+LOCAL = pa.schema([("rep", pa.int64()), ("root", pa.int64())])
 
-def cluster(df: DataFrame, id_col: str, vec: str, eps: float = EPS, dims: int = DIMS, margin: float | None = None, cell_rows: int = 400) -> DataFrame:
+
+def cluster(df: DataFrame, id_col: str, vec: str, eps: float = EPS, dims: int = DIMS, margin: float | None = None, cell_rows: int = 400, min_points: int = 1) -> DataFrame:
     """``(id, group_id)`` for every id in a group of two or more; ``group_id`` is the smallest id of the group.
 
     Rows that repeat an id count once (their vectors are linked if they differ); rows with a null id or an unusable
     vector (null, wrong length, null/NaN/infinite values, all zero) are in no group; an empty table gives no rows;
-    ties do not matter, the result depends on the set of rows only.
+    ties do not matter, the result depends on the set of rows only.  With ``min_points`` above 1 a point that is not
+    core joins the group of the smallest core id within ``eps``, and is in none if there is no core point.
     """
-    rows = _faces(df, id_col, vec, dims)
-    total = rows.count()
+    rows = cells.prepare(df, id_col, vec, dims)
+    total = df.count()
     margin = MARGIN * eps / EPS if margin is None else margin
-    space = cells.fit(cells.sample(rows, total, dims), total, margin, cell_rows=cell_rows)
-
-    def run(t: pa.Table) -> pa.Table:
-        start, ids, m, _ = cells.distinct_vectors(t, dims)
-        rep = ids[start]
-        order = np.argsort(rep, kind="stable")  # so that the smallest row number is the smallest id
-        lab = roots(m[order], eps)
-        size = np.bincount(lab, minlength=len(lab))
-        many = size[lab] > 1
-        return pa.table({"rep": rep[order][many], "root": rep[order][lab[many]]}, schema=pa.schema([("rep", pa.int64()), ("root", pa.int64())]))
-
-    local = cells.spread(rows, space, dims).groupBy("cell").applyInArrow(run, "rep long, root long")
+    data = cells.sample(df, id_col, vec, dims, total, cells.sample_size(total, cell_rows))
+    space = cells.fit(data, total, margin, cell_rows=cell_rows)
+    sketch, parts = cells.Reduced(space, KEPT_AXES), cells.partitions_for(df, total)
+    placed = cells.spread(rows, space, sketch, dims, parts)
+    guests = cells.visitors(placed, sketch, dims, eps, parts)
+    # ids with their vectors' hashes; copies go by their smallest id
+    ids = cut(rows.groupBy("id", "h", "g").agg(F.count("*").alias("_n")).select("id", "h", "g"))
+    copies = ids.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    if min_points > 1:
+        return _dense(placed, guests, sketch, dims, eps, ids, copies, min_points)
+
+    def run(c: cells.Cell) -> pa.Table:
+        c = by_id(c)
+        lab = roots(c, eps)
+        many = np.bincount(lab, minlength=len(lab))[lab] > 1
+        return pa.table({"rep": c.ids[many], "root": c.ids[lab[many]]}, schema=LOCAL)
+
+    local = cells.meet(placed, guests, sketch, dims, run, "rep long, root long")
     # a point of several cells joins their local clusters; most points are in one cluster only
     member = cut(local.groupBy("rep").agg(F.collect_set("root").alias("roots")).select("rep", F.array_min("roots").alias("root"), F.when(F.size("roots") > 1, F.col("roots")).alias("roots")))
     links = member.where("roots is not null").select(F.col("root").alias("x"), F.explode("roots").alias("y"))
-    ids = rows.groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("k")).select("id", F.explode("k").alias("k"), (F.size("k") > 1).alias("twice"))
-    ids = cut(ids.select("id", "k.h", "k.g", "twice"))
-    copies = ids.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = ids.join(copies, ["h", "g"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "twice", F.col("rep").isNotNull().alias("copied"))
+    twice = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("twice"))
+    named = _by_copies(ids, copies).join(twice, "id", "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
     # an id delivered with different vectors links them
     root_of = named.join(member.select("rep", "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"), F.col("root").isNotNull().alias("linked"), "copied", "twice")
     other = root_of.where("twice").groupBy("id").agg(F.min("root").alias("x"), F.collect_set("root").alias("ys")).select("x", F.explode("ys").alias("y"))
     merged = components(clean_edges(links.unionByName(other), "x", "y")).select(F.col("id").alias("root"), "group_id")
-    out = root_of.where("linked or copied or twice").join(merged, "root", "left").select("id", F.coalesce("group_id", "root").alias("group_id")).groupBy("id").agg(F.min("group_id").alias("group_id"))
-    return out
+    return root_of.where("linked or copied or twice").join(merged, "root", "left").select("id", F.coalesce("group_id", "root").alias("group_id")).groupBy("id").agg(F.min("group_id").alias("group_id"))
+
+
+SALTS = 16
+
+
+def _by_copies(ids: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(id, h, g, rep, copied)``; a vector with very many copies is met in ``SALTS`` places."""
+    salted = copies.select("h", "g", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, ["h", "g", "salt"], "left").select("id", "h", "g", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("copied"))
+
+
+def _dense(placed, guests, sketch, dims: int, eps: float, ids: DataFrame, copies: DataFrame, min_points: int) -> DataFrame:
+    """Groups where not every point is core: degrees first, then links among core points, then the points at borders."""
+
+    def pairs(c: cells.Cell) -> pa.Table:
+        c = by_id(c)
+        found = [(a, b) for left, right in cells.lanes(c) for a, b in near_rows(c.m, left, right, eps)]
+        a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        a, b = c.ids[a], c.ids[b]
+        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    near = cut(cells.meet(placed, guests, sketch, dims, pairs, "u long, v long").distinct())
+    weight = copies.select(F.col("rep").alias("p"), F.col("n").alias("w"))
+    named = cut(_by_copies(ids, copies))
+    both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = both.join(weight, both.v == weight.p, "left").groupBy("u").agg(F.sum(F.coalesce("w", F.lit(1))).alias("d"))
+    reps = named.select("rep").distinct()
+    size = reps.join(weight, reps.rep == weight.p, "left").join(degree, reps.rep == degree.u, "left").select("rep", (F.coalesce("w", F.lit(1)) + F.coalesce("d", F.lit(0))).alias("n"))
+    core = cut(size.where(F.col("n") >= min_points).select("rep"))
+    of = lambda c: core.select(F.col("rep").alias(c))
+    inner = near.join(of("u"), "u", "left_semi").join(of("v"), "v", "left_semi")
+    twice = named.join(core, "rep", "left_semi").groupBy("id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("vs")).where(F.size("vs") > 1).select("u", F.explode("vs").alias("v"))
+    grouped = components(clean_edges(inner.unionByName(twice), "u", "v")).select(F.col("id").alias("rep"), "group_id")
+    roots_ = core.join(grouped, "rep", "left").select("rep", F.coalesce("group_id", "rep").alias("root"))
+    border = both.join(of("u"), "u", "left_anti").join(of("v"), "v", "left_semi").groupBy("u").agg(F.min("v").alias("core"))
+    border = border.join(roots_.withColumnRenamed("rep", "core"), "core").select(F.col("u").alias("rep"), "root")
+    placed_ids = named.join(roots_.unionByName(border), "rep").groupBy("id").agg(F.min("root").alias("root"))
+    several = placed_ids.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("group_id")).where("n > 1")
+    return placed_ids.join(several, "root").select("id", "group_id")
 
 
 def describe(df: DataFrame, groups: DataFrame, id_col: str, vec: str, dims: int = DIMS, top: int = 3) -> DataFrame:
@@ -156,7 +199,9 @@ def describe(df: DataFrame, groups: DataFrame, id_col: str, vec: str, dims: int
             d = np.round(np.sqrt(((m - s / b.column(3).to_numpy()[:, None]) ** 2).sum(1)), 9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(d)], names=["group_id", "id", "n", "d"])
 
-    near = joined.join(means, "group_id").select("group_id", "id", "code", "n", "s").mapInArrow(far, "group_id long, id long, n long, d double")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")  # a very large group meets its mean in several places
+    means = means.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = joined.withColumn("salt", salt).join(means, ["group_id", "salt"]).select("group_id", "id", "code", "n", "s").mapInArrow(far, "group_id long, id long, n long, d double")
     # Spark limits every window group before its shuffle, so at most ``top`` rows a group leave a task
     w = Window.partitionBy("group_id").orderBy("d", "id")
     best = near.select("*", F.row_number().over(w).alias("rn")).where(F.col("rn") <= top)

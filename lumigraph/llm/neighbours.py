@@ -3,8 +3,9 @@
 Codebooks of full-dimensional codewords are fitted on a bounded sample: residual k-means gives a start, then beam
 search encoding and a least-squares update of all codewords alternate.  Every vector of the collection is encoded by
 beam search and stored with its norm, the scale that makes its code unbiased for itself and the norm of what the
-code leaves out.  Within the cells of :mod:`cells`, a query's lookup tables score the codes; whatever can lie within
-the limit by its score and residual norm is reranked with exact distances.  No list is capped.
+code leaves out.  Only these 20 bytes go to the margins of the cells of :mod:`cells`; a query's lookup tables score
+them, and by Cauchy's inequality the score and the norm of the rest bound the distance from below, so nothing within
+the limit is passed over.  What passes is fetched and reranked with exact distances.  No list is capped.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lumigraph.llm import cells
+from lumigraph.session import cut
 
 BOOKS, WORDS, BEAM = 8, 128, 4
-SLACK = 4.0  # standard deviations of the part of a difference that the code does not see
-MARGIN = 0.06  # of a limit of 0.6
+MARGIN = 0.08  # of a limit of 0.6; tests measure the share of pairs it keeps
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -91,76 +93,75 @@ def train(data: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return b
 
 
-def near_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, chunk: int = 512, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs ``i < j`` of rows at a distance below ``limit``, rounded to six decimals: scored by tables, then exact.
-
-    With ``first``, only pairs of one of the first so many rows and one of the others are compared.
-    """
-    n, k = len(m), len(books.words) // books.books
-    x = (m - books.mean).astype(np.float32)
-    codes = codes.astype(np.int64)
-    hat = books.decode(codes)
-    norm = (x * x).sum(1)
-    along = (x * hat).sum(1)
-    scale = np.where(along > 1e-6, norm / np.maximum(along, 1e-6), 0.0).astype(np.float32)
-    # of a query at distance <= limit the score misses 2 <difference, what the code leaves out>
-    rest = np.sqrt(np.maximum(((x - scale[:, None] * hat) ** 2).sum(1), 0))
-    allowed = limit * limit + 2 * SLACK * limit * rest / np.sqrt(m.shape[1]) + 1e-4
-    # look-up tables by codeword, so that one code copies the scores of all queries of a block
-    table = books.words @ x.T
+@dataclass(frozen=True)
+class Codes:
+    """The sketch of a vector: norm, scale, norm of the rest, and the code."""
+
+    books: Books
+
+    @property
+    def width(self) -> int:
+        return 12 + self.books.books
+
+    def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x = (m - self.books.mean).astype(np.float32)
+        code = self.books.encode(x)
+        hat = self.books.decode(code) if len(x) else x
+        norm, along = (x * x).sum(1), (x * hat).sum(1)
+        scale = np.where(along > 1e-6, norm / np.maximum(along, 1e-6), 0.0).astype(np.float32)
+        rest = np.sqrt(((x - scale[:, None] * hat) ** 2).sum(1))
+        return np.concatenate([np.stack([norm, scale, rest], axis=1).astype(np.float32).view(np.uint8), code], axis=1)
+
+    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``m`` and of ``tails`` that may be within ``limit``, by tables of scores.
+
+        With x a query, b = s * code + r a stored vector and <b, r> = 0, |x - b|^2 = |x|^2 + |b|^2 - 2 s <x, code> -
+        2 <x - b, r>, and the last term is at most 2 * limit * |r| where |x - b| <= limit.
+        """
+        k = len(self.books.words) // self.books.books
+        head = np.ascontiguousarray(tails[:, :12]).view(np.float32)
+        norm, scale, rest = head[:, 0], head[:, 1], head[:, 2]
+        codes = tails[:, 12:].astype(np.int64)
+        x = (m - self.books.mean).astype(np.float32)
+        own = (x * x).sum(1)
+        bar = norm - limit * limit - 2 * limit * rest - 1e-3
+        out = [[], []]
+        step = max(1, 1_000_000 // max(len(codes), 1))
+        for s in range(0, len(x), step):
+            table = self.books.words @ x[s : s + step].T  # by codeword: a code adds up the scores of all queries at once
+            score = table[codes[:, 0]]
+            for b in range(1, self.books.books):
+                score += table[codes[:, b] + b * k]
+            score *= (-2 * scale)[:, None]
+            score += own[s : s + step]
+            score += bar[:, None]
+            c, a = np.nonzero(score <= 0)
+            out[0].append(a + s)
+            out[1].append(c)
+        return tuple(np.concatenate(v or [np.zeros(0, np.int64)]) for v in out)
+
+
+def near_pairs(c: cells.Cell, sketch: Codes, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of vectors of a part below ``limit``, rounded to six decimals: scored by tables, then exact."""
     ii, jj, dd = [], [], []
-    for s in range(0, first or n, chunk):
-        e, t = min(first or n, s + chunk), first or s
-        part = np.ascontiguousarray(table[:, s:e])
-        score = part[codes[t:, 0]]
-        for b in range(1, books.books):
-            score += part[codes[t:, b] + b * k]
-        score *= (-2 * scale[t:])[:, None]
-        score += norm[s:e]
-        score += (norm - allowed)[t:, None]
-        hit = np.flatnonzero((score <= 0).reshape(-1))
-        c, a = np.divmod(hit, e - s)
-        a, c = a + s, c + t
-        keep = a < c
-        a, c = a[keep], c[keep]
+    for left, right in cells.lanes(c):
+        if not len(left) or not len(right):
+            continue
+        b, a = sketch.hits(c.m[right], c.tails[left], limit)
+        a, b = left[a], right[b]
+        if left is right:
+            a, b = a[a < b], b[a < b]
         for o in range(0, len(a), 100_000):
-            p, q = a[o : o + 100_000], c[o : o + 100_000]
-            d = x[p] - x[q]
-            rough = np.einsum("ij,ij->i", d, d) <= limit * limit + 1e-3
-            p, q = p[rough], q[rough]
-            d = np.round(np.sqrt(((m[p] - m[q]) ** 2).sum(1)), 6)
+            p, q = a[o : o + 100_000], b[o : o + 100_000]
+            d = np.round(np.sqrt(((c.m[p] - c.m[q]) ** 2).sum(1)), 6)
             yes = d < limit
             ii.append(p[yes])
             jj.append(q[yes])
             dd.append(d[yes])
-    z = np.zeros(0, int)
+    z = np.zeros(0, np.int64)
     return np.concatenate(ii or [z]), np.concatenate(jj or [z]), np.concatenate(dd or [np.zeros(0)])
 
 
-class _Encoder:
-    """Codes of the rows of a matrix; computed once, where a vector is read."""
-
-    def __init__(self, shared) -> None:
-        self.shared = shared
-
-    def __call__(self, m: np.ndarray) -> np.ndarray:
-        books: Books = self.shared.value
-        return books.encode((m - books.mean).astype(np.float32))
-
-
-def cell_pairs(m: np.ndarray, codes: np.ndarray, books: Books, limit: float, margin: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`near_pairs`, by pairs of blocks where there are very many rows; the same pairs whatever ``margin`` says."""
-    inner = cells.parts(m, margin)
-    if inner is None:
-        return near_pairs(m, codes, books, limit)
-    found = []
-    for rows, first in inner:
-        i, j, d = near_pairs(m[rows], codes[rows], books, limit, first=first)
-        found.append((rows[i], rows[j], d))
-    i, j, d = (np.concatenate(x) for x in zip(*found))
-    return i, j, d
-
-
 def _top(src: np.ndarray, dst: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     """Row numbers of the ``k`` smallest (d, dst) of every src."""
     order = np.lexsort((dst, d, src))
@@ -180,21 +181,19 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     neighbours and are none; copies of one vector are each other's neighbours at distance 0; no rows give no rows.
     """
     rows = cells.prepare(df, id_col, vec, dims)
-    total = rows.count()
-    data = cells.sample(rows, total, dims)
+    total = df.count()
+    data = cells.sample(df, id_col, vec, dims, total, cells.sample_size(total, cell_rows))
     margin = MARGIN * limit / 0.6 if margin is None else margin
     space = cells.fit(data, total, margin, cell_rows=cell_rows)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(train(data))  # BOOKS * WORDS codewords
-    encoder = spark.sparkContext.broadcast(_Encoder(shared))
+    sketch, parts = Codes(train(data)), cells.partitions_for(df, total)  # BOOKS * WORDS codewords
     schema = "id long, n1 long, d1 int, n2 long, d2 int, n3 long, d3 int" if k == 3 else "id long, " + ", ".join(f"n{i} long, d{i} int" for i in range(1, k + 1))
-    names = ["id", *(f"{c}{i}" for i in range(1, k + 1) for c in "nd")]
     types = pa.schema([("id", pa.int64()), *((f"{c}{i}", pa.int64() if c == "n" else pa.int32()) for i in range(1, k + 1) for c in "nd")])
+    shared = df.sparkSession.sparkContext.broadcast(sketch)
 
-    def run(t: pa.Table) -> pa.Table:
-        start, ids, m, codes = cells.distinct_vectors(t, dims, BOOKS)
+    def run(c: cells.Cell) -> pa.Table:
+        start, ids = c.start, c.ids
         count = np.minimum(np.diff(np.append(start, len(ids))), k + 1)  # k + 1 copies serve any id
-        i, j, d = cell_pairs(m, codes, shared.value, limit)
+        i, j, d = near_pairs(c, shared.value, limit)
         copied = np.flatnonzero(count > 1)
         i, j, d = np.concatenate([i, j, copied]), np.concatenate([j, i, copied]), np.concatenate([d, d, np.zeros(len(copied))])
         best = _top(i, ids[start[j]], d, k + 1)  # each of these vectors has at least one id
@@ -221,18 +220,19 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
             cols += [pa.array(n_, mask=~ok), pa.array(d_, mask=~ok)]
         return pa.Table.from_arrays(cols, schema=types)
 
-    local = cells.spread(rows, space, dims, ids_kept=k + 1, tail=encoder).groupBy("cell").applyInArrow(run, schema)
+    placed = cells.spread(rows, space, sketch, dims, parts, ids_kept=k + 1)
+    local = cells.meet(placed, cells.visitors(placed, sketch, dims, limit, parts), sketch, dims, run, schema)
     # an id of one cell is done; lists of several cells, at most one a cell, become one
     lists = F.array(*(F.struct(F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i in range(1, k + 1)))
     found = local.select("id", F.filter(lists, lambda e: e.n.isNotNull()).alias("l"))
     merged = found.groupBy("id").agg(F.flatten(F.collect_list("l")).alias("l"))
 
     # the others of more than k + 1 copies: the k smallest ids of the group, at distance 0
-    ids = rows.select("id", "h", "g").distinct()
-    many = ids.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
-    hot = ids.join(many, ["h", "g"])
-    least = _least_ids(hot, k + 1)
-    late = hot.join(least, ["h", "g"]).where(~F.array_contains("least", F.col("id")))
+    ids = cut(rows.select("id", "h", "g"))
+    least = _least_ids(ids, k + 2).where(F.size("least") > k + 1)
+    salted = least.select("h", "g", F.slice("least", 1, k + 1).alias("least"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = ids.select("id", "h", "g", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    late = own.join(salted, ["h", "g", "salt"]).where(~F.array_contains("least", F.col("id")))
     late = late.select("id", F.transform(F.slice("least", 1, k), lambda x: F.struct(F.lit(0).alias("d"), x.alias("n"))).alias("l"))
 
     def pick(batches):
@@ -253,13 +253,11 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     return merged.unionByName(late).mapInArrow(pick, "id long, nbr long, micro int")
 
 
-def _least_ids(hot: DataFrame, k: int) -> DataFrame:
+def _least_ids(rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` smallest ids of each vector; window groups are limited before their shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("h", "g").orderBy("id")
-    few = hot.select("h", "g", "id", F.row_number().over(w).alias("rn")).where(F.col("rn") <= k)
-    return few.groupBy("h", "g").agg(F.array_sort(F.collect_list("id")).alias("least"))
+    few = rows.select("h", "g", "id").withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k)
+    return few.groupBy("h", "g").agg(F.array_sort(F.collect_set("id")).alias("least"))
 
 
 def pairs(near: DataFrame) -> DataFrame:
