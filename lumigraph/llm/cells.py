@@ -175,7 +175,7 @@ def sample_size(total: int, cell_rows: int) -> int:
     return min(SAMPLE_ROWS, max(16_000, 4 * pivot_number(total, cell_rows)))
 
 
-def fit(data: np.ndarray, total: int, margin: float, dims: int = 96, cell_rows: int = 400, block_rows: int = 20_000) -> Space:
+def fit(data: np.ndarray, total: int, margin: float, dims: int = 128, cell_rows: int = 400, block_rows: int = 20_000) -> Space:
     """Pivots for about ``cell_rows`` vectors a cell, from ``data``, a sample of ``total`` vectors."""
     rng = np.random.default_rng(SEED)
     mean = data.mean(0) if len(data) else np.zeros(data.shape[1])

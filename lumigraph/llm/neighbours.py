@@ -3,9 +3,9 @@
 Codebooks of full-dimensional codewords are fitted on a bounded sample: residual k-means gives a start, then beam
 search encoding and a least-squares update of all codewords alternate.  Every vector of the collection is encoded by
 beam search and stored with its norm, the scale that makes its code unbiased for itself and the norm of what the
-code leaves out.  Only these 20 bytes go to the margins of the cells of :mod:`cells`; a query's lookup tables score
-them, and by Cauchy's inequality the score and the norm of the rest bound the distance from below, so nothing within
-the limit is passed over.  What passes is fetched and reranked with exact distances.  No list is capped.
+code leaves out.  Only these 28 bytes go to the margins of the cells of :mod:`cells`; a query's lookup tables score
+them, and what can lie within the limit, by its score and ``SLACK`` standard deviations of what the code does not
+see, is fetched and reranked with exact distances.  No list is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lumigraph.llm import cells
 from lumigraph.session import cut
 
-BOOKS, WORDS, BEAM = 8, 128, 4
+BOOKS, WORDS, BEAM = 16, 32, 4
+SLACK = 5.0  # standard deviations of the part of a difference that the code does not see
 MARGIN = 0.08  # of a limit of 0.6; tests measure the share of pairs it keeps
 SALTS = 16
 
@@ -37,27 +38,34 @@ class Books:
     def of(mean: np.ndarray, words: np.ndarray, books: int) -> Books:
         return Books(mean, words.astype(np.float32), (words @ words.T).astype(np.float32), books)
 
-    def encode(self, x: np.ndarray, beam: int = BEAM, chunk: int = 512) -> np.ndarray:
+    def encode(self, x: np.ndarray, beam: int = BEAM, chunk: int = 1024) -> np.ndarray:
         """Beam search: each stage keeps the ``beam`` partial sums nearest to the vector."""
         return np.concatenate([self._encode(x[s : s + chunk], beam) for s in range(0, len(x), chunk)] or [np.zeros((0, self.books), np.uint8)])
 
     def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         n, k = len(x), len(self.words) // self.books
-        dots = 2 * (x.astype(np.float32) @ self.words.T)
         own = np.diag(self.gram)
-        err, codes = np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.int64)
-        rows = np.arange(n)[:, None]
+        left = x.astype(np.float32)[:, None, :]  # what each partial sum leaves out
+        codes = np.zeros((n, 1, 0), np.uint8)
+        err = np.zeros((n, 1), np.float32)
+        rows = np.arange(n)
         for stage in range(self.books):
             part = slice(stage * k, stage * k + k)
-            e = err[:, :, None] + (own[part] - dots[:, part])[:, None, :]
-            for j in range(stage):
-                e += 2 * self.gram[codes[:, :, j] + j * k, part]
+            words = self.words[part]
+            e = err[:, :, None] + own[part] - 2 * (left.reshape(-1, x.shape[1]) @ words.T).reshape(n, -1, k)
             e = e.reshape(n, -1)
             keep = min(beam, e.shape[1]) if stage + 1 < self.books else 1
-            best = np.argpartition(e, keep - 1, axis=1)[:, :keep] if keep < e.shape[1] else np.tile(np.arange(e.shape[1]), (n, 1))
-            err = e[rows, best]
-            codes = np.concatenate([codes[rows, best // k], (best % k)[:, :, None]], axis=2)
-        return codes[:, 0].astype(np.uint8)
+            best = np.empty((n, keep), np.int64)
+            err = np.empty((n, keep), np.float32)
+            for b in range(keep):
+                best[:, b] = e.argmin(1)
+                err[:, b] = e[rows, best[:, b]]
+                e[rows, best[:, b]] = np.inf
+            parent, word = np.divmod(best, k)
+            codes = np.concatenate([codes[rows[:, None], parent], word[:, :, None].astype(np.uint8)], axis=2)
+            if stage + 1 < self.books:
+                left = left[rows[:, None], parent] - words[word]
+        return codes[:, 0]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         k = len(self.words) // self.books
@@ -116,7 +124,7 @@ class Codes:
         """Rows of ``m`` and of ``tails`` that may be within ``limit``, by tables of scores.
 
         With x a query, b = s * code + r a stored vector and <b, r> = 0, |x - b|^2 = |x|^2 + |b|^2 - 2 s <x, code> -
-        2 <x - b, r>, and the last term is at most 2 * limit * |r| where |x - b| <= limit.
+        2 <x - b, r>.  The last term is not seen; its deviation is at most 2 * limit * |r| / sqrt(d) within the limit.
         """
         k = len(self.books.words) // self.books.books
         head = np.ascontiguousarray(tails[:, :12]).view(np.float32)
@@ -124,7 +132,7 @@ class Codes:
         codes = tails[:, 12:].astype(np.int64)
         x = (m - self.books.mean).astype(np.float32)
         own = (x * x).sum(1)
-        bar = norm - limit * limit - 2 * limit * rest - 1e-3
+        bar = norm - limit * limit - 2 * SLACK * limit * rest / np.sqrt(m.shape[1]) - 1e-3
         out = [[], []]
         step = max(1, 1_000_000 // max(len(codes), 1))
         for s in range(0, len(x), step):
