@@ -41,6 +41,9 @@ def area_label(number: Column, area_: Column) -> Column:
     return F.format_string("Face #%d: %d pixels", number.cast("long"), area_.cast("long"))
 
 
+TAG_GAP = 10  # between a box and a tag below it
+
+
 def label_top(top: Column, bottom: Column, label_height: int) -> Column:
-    """Where a tag of a box begins: above it, or below where it would leave the image."""
-    return F.when(top - label_height >= 0, top - label_height).otherwise(bottom)
+    """Where a tag of a box begins: right above it, or a little below where it would leave the image."""
+    return F.when(top - label_height >= 0, top - label_height).otherwise(bottom + TAG_GAP)

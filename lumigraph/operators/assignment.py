@@ -34,9 +34,14 @@ def destinations(files: DataFrame, root: str = "output") -> DataFrame:
 
 
 def persons(files: DataFrame, first: DataFrame) -> DataFrame:
-    """One row per person with its sorted files and representative."""
-    grouped = files.groupBy("cluster_id").agg(F.sort_array(F.collect_set("media_path")).alias("files"))
-    return grouped.join(first.select("cluster_id", F.col("crop_path").alias("representative_face")), "cluster_id", "left").select("cluster_id", names.person(F.col("cluster_id")).alias("name"), "files", "representative_face")
+    """One row per person with the number of files, the first of them and the representative; files stay rows."""
+    grouped = files.groupBy("cluster_id").agg(F.count("*").alias("n_files"), F.min("media_path").alias("first_file"))
+    return grouped.join(first.select("cluster_id", F.col("crop_path").alias("representative_face")), "cluster_id", "left").select("cluster_id", names.person(F.col("cluster_id")).alias("name"), "n_files", "first_file", "representative_face")
+
+
+def file_lists(files: DataFrame) -> DataFrame:
+    """``(cluster_id, files)``: sorted lists, for display of persons with few files."""
+    return files.groupBy("cluster_id").agg(F.sort_array(F.collect_set("media_path")).alias("files"))
 
 
 def zip_faces(results: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumigraph.operators.components import components
 from lumigraph.operators.similarity import distance_join
-from lumigraph.session import cut
+from lumigraph.session import cut, ship
+
+NOISE = -1
+SALTS = 16
 
 
 def numbered(roots: DataFrame) -> DataFrame:
@@ -50,15 +55,45 @@ def current_labels(assignment: DataFrame) -> DataFrame:
     return best.select("face_id", F.col("m.cluster_id").alias("cluster_id")).where("cluster_id is not null")
 
 
-def centroids(faces: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(cluster_id, pos, total, n, mean)`` of the faces' vectors, one row a coordinate: plain, combined map-side."""
-    rows = faces.join(labels, "face_id").select("cluster_id", F.posexplode("encoding").alias("pos", "x"))
-    return rows.groupBy("cluster_id", "pos").agg(F.sum("x").alias("total"), F.count("x").alias("n")).withColumn("mean", F.col("total") / F.col("n"))
+def person_labels(labels: DataFrame) -> DataFrame:
+    """Labels without noise: -1 is not a person."""
+    return labels.where(F.col("cluster_id") != NOISE)
+
+
+SCALE = 10**9  # sums are whole billionths, so that their order does not matter
 
 
-def centroid_vectors(long: DataFrame) -> DataFrame:
-    """``(cluster_id, vec)``; a cluster has as many coordinates as its faces."""
-    return long.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda e: e["mean"]).alias("vec"))
+def centroids(faces: DataFrame, labels: DataFrame, dims: int = 128) -> DataFrame:
+    """``(cluster_id, n_faces, vec)``: the means of the faces' vectors, all of ``dims`` values.
+
+    Vectors are summed per batch, batch sums per cluster; a cluster with very many faces has a sum a batch, which are
+    added up in ``SALTS`` places first.  Coordinates count to nine decimals, up to some billions in all.
+    """
+    ship(faces.sparkSession)
+
+    def partial(batches):
+        for b in batches:
+            if b.num_rows:
+                keys, inv = np.unique(b.column(0).to_numpy(), return_inverse=True)
+                s = np.zeros((len(keys), dims), np.int64)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+                np.add.at(s, inv, np.rint(v * SCALE).astype(np.int64))
+                yield _sums(keys, np.bincount(inv), s)
+
+    def add(t: pa.Table) -> pa.Table:
+        s = t["s"].combine_chunks().flatten().to_numpy().reshape(-1, dims).sum(0, keepdims=True)
+        return pa.Table.from_batches([_sums(t["cluster_id"][:1].to_numpy(), np.array([t["n"].to_numpy().sum()]), s)])
+
+    schema = "cluster_id int, n long, s array<long>"
+    parts = faces.join(labels, "face_id").select("cluster_id", "encoding").mapInArrow(partial, schema)
+    salted = parts.groupBy("cluster_id", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")).applyInArrow(add, schema)
+    whole = salted.groupBy("cluster_id").applyInArrow(add, schema)
+    return whole.select("cluster_id", F.col("n").alias("n_faces"), F.transform("s", lambda x: x.cast("decimal(28,0)").cast("double") / F.lit(float(SCALE)) / F.col("n")).alias("vec"))
+
+
+def _sums(keys: np.ndarray, n: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * s.shape[1]), pa.array(s.reshape(-1)))
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64)), flat], names=["cluster_id", "n", "s"])
 
 
 def merge_suggestions(centroid: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lumigraph.session import ship
+
 BLOCK_ROWS = 4_000
 
 
@@ -15,6 +17,7 @@ def distance_join(df: DataFrame, id_col: str, vec: str, limit: float, strict: bo
     All pairs are compared, none are emitted but those within; ids of a null or empty vector, or of another length
     than the vector they meet, match nothing.  A repeated id must repeat its vector.
     """
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     n = rows.count()
     k = max(1, -(-n // block_rows))

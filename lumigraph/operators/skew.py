@@ -8,12 +8,14 @@ those boundary states (at most two a partition) are stitched in order, all other
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumigraph.session import cut
+from lumigraph.session import cut, ship
 
 STATE = "part int, seq int, edge boolean, key long, n_rows long, n_distinct long, first string, last string, least timestamp, most timestamp"
 
@@ -32,64 +34,89 @@ def spread_sorted(df: DataFrame, key: Column, second: Column, partitions: int |
 
 def partial_states(df: DataFrame, key: Column, second: Column, at: Column, partitions: int | None = None) -> DataFrame:
     """A state per partition and key: rows, distinct secondary values, the first and last of them, and the time span."""
+    ship(df.sparkSession)
     rows = spread_sorted(df.select(key.cast("long").alias("k"), second.cast("string").alias("s"), at.cast("timestamp").alias("t")), F.col("k"), F.col("s"), partitions)
     rows = rows.where("_k is not null").select(F.spark_partition_id().alias("p"), "_k", "_s", "t")
 
     def fold(batches):
-        done: list[list] = []
-        cur: list | None = None
-
-        def close(x):
-            done.append(x)
-
-        seq = 0
-        part = None
-        first_key = True
+        held: _Keys | None = None
+        seq = part = 0
         for b in batches:
             if not b.num_rows:
                 continue
             part = b.column(0)[0].as_py()
-            # runs of equal (key, secondary); the batch is sorted by both
-            n = b.num_rows
-            key, sec = b.column(1), b.column(2)
-            other = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.fill_null(pc.not_equal(sec[1:], sec[:-1]), True)).to_numpy(zero_copy_only=False)
-            both_null = pc.and_(pc.is_null(sec[1:]), pc.is_null(sec[:-1])).to_numpy(zero_copy_only=False) & pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-            start = np.concatenate([[0], 1 + np.flatnonzero(other & ~both_null)])
-            run = np.zeros(n, np.int64)
-            run[start[1:]] = 1
-            runs = pa.table({"r": np.cumsum(run), "t": b.column(3)}).group_by("r", use_threads=False).aggregate([("t", "min"), ("t", "max")]).sort_by("r")
-            keys, secs = key.take(pa.array(start)).to_pylist(), sec.take(pa.array(start)).to_pylist()
-            lo, hi, counts = runs["t_min"].to_pylist(), runs["t_max"].to_pylist(), np.diff(np.append(start, n)).tolist()
-            for k, s, a, z, c in zip(keys, secs, lo, hi, counts):
-                if cur is None or cur[0] != k:
-                    if cur is not None:
-                        close([seq, first_key, *cur])
-                        seq, first_key = seq + 1, False
-                    cur = [k, 0, 0, None, None, None, None]
-                cur[1] += c
-                if s is not None and s != cur[4]:
-                    cur[2] += 1
-                    cur[3] = s if cur[3] is None else cur[3]
-                    cur[4] = s
-                cur[5] = a if cur[5] is None or (a is not None and a < cur[5]) else cur[5]
-                cur[6] = z if cur[6] is None or (z is not None and z > cur[6]) else cur[6]
-            if len(done) > 10_000:
-                yield _states(part, done)
-                done = []
-        if cur is not None:
-            close([seq, True, *cur])
-        if done:
-            yield _states(part, done)
+            mine = _Keys.of(b)
+            if held is not None:
+                mine = held.followed_by(mine)
+            last = len(mine.key) - 1
+            if last:
+                yield mine.rows(slice(0, last), part, seq, seq == 0)
+            seq, held = seq + last, mine.only(last)
+        if held is not None:
+            yield held.rows(slice(0, 1), part, seq, True)
 
     return rows.mapInArrow(fold, STATE)
 
 
-def _states(part: int, done: list[list]) -> pa.RecordBatch:
-    cols = list(zip(*done))
-    types = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.timestamp("us", "UTC")]
-    names = ["seq", "edge", "key", "n_rows", "n_distinct", "first", "last", "least", "most"]
-    arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(done), pa.int32()), *arrays], names=["part", *names])
+NONE = np.iinfo(np.int64)
+
+
+@dataclass
+class _Keys:
+    """States of the keys of sorted rows, a column each; ``least`` and ``most`` in microseconds."""
+
+    key: np.ndarray
+    n_rows: np.ndarray
+    n_distinct: np.ndarray
+    first: pa.Array
+    last: pa.Array
+    least: np.ndarray
+    most: np.ndarray
+
+    @staticmethod
+    def of(b: pa.RecordBatch) -> _Keys:
+        n = b.num_rows
+        key, sec = b.column(1).to_numpy(), b.column(2)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        there = sec.is_valid().to_numpy(zero_copy_only=False)
+        new = there.copy()  # the first row of a run of an equal secondary value
+        new[1:] &= pc.fill_null(pc.not_equal(sec[1:], sec[:-1]), True).to_numpy(zero_copy_only=False) | (key[1:] != key[:-1])
+        rows = np.arange(n)
+        head = np.minimum.reduceat(np.where(there, rows, n), start)
+        tail = np.maximum.reduceat(np.where(there, rows, -1), start)
+        none = pa.array(tail < 0)
+        pick = lambda at: sec.take(pa.array(at, mask=none.to_numpy(zero_copy_only=False)))
+        at = b.column(3)
+        us = pc.fill_null(at.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        least, most = np.minimum.reduceat(np.where(known, us, NONE.max), start), np.maximum.reduceat(np.where(known, us, NONE.min), start)
+        return _Keys(key[start], np.diff(np.append(start, n)), np.add.reduceat(new.astype(np.int64), start), pick(np.minimum(head, n - 1)), pick(np.maximum(tail, 0)), least, most)
+
+    def only(self, k: int) -> _Keys:
+        return _Keys(*(getattr(self, f.name)[k : k + 1] for f in fields(self)))
+
+    def followed_by(self, other: _Keys) -> _Keys:
+        """The states of both, where this is one key's and may go on as the other's first."""
+        join = lambda a, b: pa.concat_arrays([a, b]) if isinstance(a, pa.Array) else np.concatenate([a, b])
+        if self.key[0] != other.key[0]:
+            return _Keys(*(join(getattr(self, f.name), getattr(other, f.name)) for f in fields(self)))
+        z, a = self.last[0].as_py(), other.first[0].as_py()
+        other.n_rows[0] += self.n_rows[0]
+        other.n_distinct[0] += self.n_distinct[0] - (a is not None and a == z)
+        if z is not None:
+            other.first = pa.concat_arrays([self.first, other.first[1:]])
+            if a is None:
+                other.last = pa.concat_arrays([self.last, other.last[1:]])
+        other.least[0], other.most[0] = min(self.least[0], other.least[0]), max(self.most[0], other.most[0])
+        return other
+
+    def rows(self, at: slice, part: int, seq: int, edge: bool) -> pa.RecordBatch:
+        n = at.stop - at.start
+        edges = np.zeros(n, bool)
+        edges[0] = edge
+        ts = lambda v, none: pa.array(v[at], mask=v[at] == none).cast(pa.timestamp("us", "UTC"))
+        cols = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int32)), pa.array(edges), pa.array(self.key[at]), pa.array(self.n_rows[at]), pa.array(self.n_distinct[at]), self.first[at.start : at.stop], self.last[at.start : at.stop], ts(self.least, NONE.max), ts(self.most, NONE.min)]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "edge", "key", "n_rows", "n_distinct", "first", "last", "least", "most"])
 
 
 def stitch(states: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from lumigraph.sources import media as M
 from lumigraph.session import table
 
 EPS = 1.10
-FACE_EPS = 0.6  # the reference's for its default detector (app.py:483)
+FACE_EPS = 0.6  # for the default detector
 MERGE = 0.6
 IMAGE_SIDE = 1500
 QUERIES: dict = {}
@@ -45,7 +45,7 @@ LABELS = """
     with labels as (
         select face_id, cluster_id from (
             select *, row_number() over (partition by face_id order by assigned_at desc nulls last, cluster_id desc nulls last) as rn from assignment where face_id is not null)
-        where rn = 1 and cluster_id is not null),
+        where rn = 1 and cluster_id is not null and cluster_id <> -1),
     video as (select frame_path, min(media_path) as m from frame where frame_path is not null and media_path is not null group by 1),
     pf as (select distinct l.cluster_id, coalesce(v.m, f.media_path) as media_path
            from face f join labels l on f.face_id = l.face_id left join video v on v.frame_path = f.media_path where f.media_path is not null)
@@ -137,12 +137,21 @@ def face_dbscan_min_samples(spark: SparkSession, sf: str) -> DataFrame:
     return _face_clusters(spark, sf, 3)
 
 
-@query(LABELS + """, u as (select distinct face_id, encoding from face where len(encoding) = 128 and list_count(encoding) = 128 and isfinite(list_max(encoding)) and isfinite(list_min(encoding)) and (list_max(encoding) <> 0 or list_min(encoding) <> 0)),
-    x as (select l.cluster_id, generate_subscripts(u.encoding, 1) - 1 as pos, unnest(u.encoding) as x from u join labels l on u.face_id = l.face_id)
-    select cluster_id, cast(pos as integer) as pos, round(sum(x), 3) / count(x) as mean from x group by 1, 2""")
+@query(LABELS + """, u as (select face_id, any_value(encoding) as encoding from face where len(encoding) = 128 and list_count(encoding) = 128 and isfinite(list_max(encoding)) and isfinite(list_min(encoding)) and (list_max(encoding) <> 0 or list_min(encoding) <> 0) group by 1),
+    x as (select l.cluster_id, generate_subscripts(u.encoding, 1) - 1 as pos, cast(unnest(u.encoding) as decimal(18, 9)) as x from u join labels l on u.face_id = l.face_id)
+    select cluster_id, cast(pos as integer) as pos, cast(sum(x) as double) / count(x) as mean from x group by 1, 2""")
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean vectors of the current clusters, one row a coordinate."""
-    return C.centroids(_usable_faces(spark, sf), C.current_labels(table(spark, sf, "assignment"))).select("cluster_id", "pos", (F.round("total", 3) / F.col("n")).alias("mean"))
+    """Mean vectors of the current persons, one row a coordinate."""
+    means = C.centroids(_usable_faces(spark, sf), _labels(spark, sf))
+    return means.select("cluster_id", F.posexplode("vec").alias("pos", "mean"))
+
+
+@query(LABELS + """, u as (select face_id, any_value(encoding) as encoding from face where len(encoding) = 128 and list_count(encoding) = 128 and isfinite(list_max(encoding)) and isfinite(list_min(encoding)) and (list_max(encoding) <> 0 or list_min(encoding) <> 0) group by 1)
+    select l.cluster_id, count(*) as n_faces, cast(128 as integer) as n_values from u join labels l on u.face_id = l.face_id group by 1""")
+def centroid_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The faces that each mean vector is made of, and its length."""
+    means = C.centroids(_usable_faces(spark, sf), _labels(spark, sf))
+    return means.select("cluster_id", "n_faces", F.size("vec").alias("n_values"))
 
 
 @query(f"with c as (select cluster_id, any_value(vec) as v from centroid where vec is not null and len(vec) = 128 group by 1) select a.cluster_id as id1, b.cluster_id as id2 from c a join c b on a.cluster_id < b.cluster_id and list_distance(a.v, b.v) < {MERGE}")
@@ -154,16 +163,18 @@ def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    return C.current_labels(table(spark, sf, "assignment"))
+    """Labels of persons: noise is nobody."""
+    return C.person_labels(C.current_labels(table(spark, sf, "assignment")))
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     return A.person_files(table(spark, sf, "face"), _labels(spark, sf), table(spark, sf, "frame"))
 
 
-@query(LABELS + "select face_id, cluster_id from labels")
+@query("select face_id, cluster_id from (select *, row_number() over (partition by face_id order by assigned_at desc nulls last, cluster_id desc nulls last) as rn from assignment where face_id is not null) where rn = 1 and cluster_id is not null")
 def current_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _labels(spark, sf)
+    """The latest label of every face, noise included."""
+    return C.current_labels(table(spark, sf, "assignment"))
 
 
 @query(LABELS + "select cluster_id, media_path from pf")
@@ -195,10 +206,23 @@ def dest_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return A.destinations(_files(spark, sf)).where("collision").groupBy("dest").agg(F.count("*").alias("n_sources"))
 
 
-@query(LABELS + ", r as (select cluster_id, min_by(crop_path, face_id) as rep from (select l.cluster_id, f.face_id, min(f.crop_path) as crop_path from face f join labels l on f.face_id = l.face_id group by 1, 2) group by 1) select pf.cluster_id, 'Person_' || (pf.cluster_id + 1) as name, string_agg(media_path, chr(10) order by media_path) as files, any_value(rep) as representative_face from pf left join r on r.cluster_id = pf.cluster_id group by 1, 2")
+@query(LABELS + ", r as (select cluster_id, min_by(crop_path, face_id) as rep from (select l.cluster_id, f.face_id, min(f.crop_path) as crop_path from face f join labels l on f.face_id = l.face_id group by 1, 2) group by 1) select pf.cluster_id, 'Person_' || (pf.cluster_id + 1) as name, count(*) as n_files, min(media_path) as first_file, any_value(rep) as representative_face from pf left join r on r.cluster_id = pf.cluster_id group by 1, 2 order by 1")
 def persons(spark: SparkSession, sf: str) -> DataFrame:
-    people = A.persons(_files(spark, sf), A.representatives(table(spark, sf, "face"), _labels(spark, sf)))
-    return people.withColumn("files", F.array_join("files", "\n"))
+    """Persons in the order of their clusters; their files are rows of person_file_list."""
+    return A.persons(_files(spark, sf), A.representatives(table(spark, sf, "face"), _labels(spark, sf))).orderBy("cluster_id")
+
+
+@query(LABELS + "select cluster_id, row_number() over (partition by cluster_id order by media_path) as n, media_path from pf order by 1, 2")
+def person_file_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The sorted files of every person, numbered, however many one person has."""
+    return E.ranked(_files(spark, sf), "cluster_id", ["media_path"]).select("cluster_id", "n", "media_path").orderBy("cluster_id", "n")
+
+
+@query(LABELS + f"select cluster_id, {BASE.format('media_path')} as name, min(media_path) as first_path from pf group by 1, 2 order by 2, 1")
+def names_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """File names in code-point order, each with the first path that has it."""
+    rows = _files(spark, sf).withColumn("name", N.basename(F.col("media_path")))
+    return rows.groupBy("cluster_id", "name").agg(F.min("media_path").alias("first_path")).orderBy("name", "cluster_id")
 
 
 @query("with v as (select frame_path, min(media_path) as m from frame where frame_path is not null and media_path is not null group by 1) select c.cluster_id, coalesce(v.m, c.media_path) as media_path, c.added_at from cluster_file c left join v on c.media_path = v.frame_path")
@@ -282,12 +306,37 @@ def merge_existing(spark: SparkSession, sf: str) -> DataFrame:
     return E.existing(_candidates(spark, sf).select("id1", "id2"), table(spark, sf, "assignment").where("cluster_id is not null"))
 
 
-@query()
-def merge_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """What becomes of each decision, in the order in which pairs were found (an order-dependent fold: no SQL)."""
+_HELD = LABELS.replace("with labels", "with recursive labels", 1) + ", held as (select distinct cluster_id from pf)"
+_OUTCOME = f""", d as (select least(id1, id2) as id1, greatest(id1, id2) as id2, min(distance) as distance, min(found_at) as found_at from merge_candidate where id1 is not null and id2 is not null and id1 <> id2 group by 1, 2),
+    o as (select *, epoch_us(found_at) as seq, {_CASE} as action, id1 in (from held) and id2 in (from held) as both_, row_number() over (order by found_at nulls first, id1, id2) as n from d where distance is not null),
+    f(n, gone, outcome) as (
+        select cast(0 as bigint), cast([] as integer[]), '' union all
+        select f.n + 1,
+            case when action = 'Merge' and both_ and not list_contains(gone, id1) and not list_contains(gone, id2) then list_append(gone, id2) else gone end,
+            case when list_contains(gone, id1) or list_contains(gone, id2) then 'void' when action = 'Reject' then 'rejected' when action = 'Skip' then 'open' when both_ then 'merged' else 'empty' end
+        from f join o on o.n = f.n + 1),
+    done as (select o.seq, o.id1, o.id2, f.outcome from o join f on f.n = o.n)"""
+
+
+def _outcome(spark: SparkSession, sf: str) -> DataFrame:
     rows = _candidates(spark, sf).where("distance is not null")
     seq = F.unix_micros(F.col("found_at").cast("timestamp")).alias("seq")
-    return E.apply_decisions(rows.select(seq, "id1", "id2", _action().alias("action")))
+    return E.apply_decisions(rows.select(seq, "id1", "id2", _action().alias("action")), _files(spark, sf))
+
+
+@query(_HELD + _OUTCOME + " select seq, id1, id2, outcome from done")
+def merge_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each decision, in the order in which pairs were found."""
+    return _outcome(spark, sf)
+
+
+@query(_HELD + _OUTCOME + """, step as (select id2 as gone, id1 as into_ from done where outcome = 'merged'),
+    way(gone, into_) as (select gone, into_ from step union all select w.gone, s.into_ from way w join step s on s.gone = w.into_),
+    last as (select gone, into_ from way where into_ not in (select gone from step))
+    select distinct coalesce(l.into_, pf.cluster_id) as cluster_id, media_path from pf left join last l on l.gone = pf.cluster_id""")
+def merge_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of every person once all decisions are done."""
+    return E.merged_files(_files(spark, sf), _outcome(spark, sf))
 
 
 @query(LABELS + ", m as (select cluster_id, 'Person_' || (cluster_id + 1) as name, case when cluster_id % 3 = 1 then 'Ann/é_' || cluster_id || '*-x!  ' when cluster_id % 3 = 2 then '!!!' end as new_name, cluster_id % 5 = 0 as remove from (select distinct cluster_id from pf)) select cluster_id, coalesce(nullif(rtrim(regexp_replace(new_name, '[^\\p{L}\\p{N} _-]', '', 'g'), ' '), ''), name) as name from m where not remove")
@@ -295,7 +344,17 @@ def rename_delete(spark: SparkSession, sf: str) -> DataFrame:
     people = _files(spark, sf).select("cluster_id").distinct().withColumn("name", N.person(F.col("cluster_id")))
     c = F.col("cluster_id")
     new = F.when(c % 3 == 1, F.concat(F.lit("Ann/é_"), c.cast("string"), F.lit("*-x!  "))).when(c % 3 == 2, "!!!")
-    return E.rename_and_delete(people, people.select("cluster_id", new.alias("new_name"), (c % 5 == 0).alias("remove")))
+    return E.rename_and_delete(people, people.select("cluster_id", new.alias("new_name"), (c % 5 == 0).alias("remove"))).select("cluster_id", "name")
+
+
+@query(LABELS + ", m as (select cluster_id, 'Person_' || (cluster_id + 1) as old_name, 'Team ' || (cluster_id % 7) as new, cluster_id % 5 = 0 as remove from (select distinct cluster_id from pf)), n as (select *, row_number() over (partition by new order by cluster_id) as k from m) select n.cluster_id, 'output/' || new || case when k > 1 then '_' || (k - 1) else '' end || '/' || regexp_extract(media_path, '([^/]+)$', 1) as path from pf join n on n.cluster_id = pf.cluster_id where not remove")
+def rename_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Where files lie once persons are renamed, several of them alike, and some removed."""
+    files = _files(spark, sf)
+    people = files.select("cluster_id").distinct().withColumn("name", N.person(F.col("cluster_id")))
+    c = F.col("cluster_id")
+    renamed = E.rename_and_delete(people, people.select("cluster_id", F.concat(F.lit("Team "), (c % 7).cast("string")).alias("new_name"), (c % 5 == 0).alias("remove")))
+    return E.renamed_paths(files.select("cluster_id", N.destination(c, F.col("media_path")).alias("path")), renamed)
 
 
 @query("select 'part' as kind, p_partkey as id, nullif(rtrim(regexp_replace(p_name, '[^\\p{L}\\p{N} _-]', '', 'g'), ' '), '') as name from part union all select 'customer', c_custkey, nullif(rtrim(regexp_replace(c_name, '[^\\p{L}\\p{N} _-]', '', 'g'), ' '), '') from customer union all select 'media', media_id, nullif(rtrim(regexp_replace(name, '[^\\p{L}\\p{N} _-]', '', 'g'), ' '), '') from media")
@@ -305,9 +364,9 @@ def sanitise_names(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+@query("with c as (select p_partkey as id, nullif(rtrim(regexp_replace(p_name, '[^\\p{L}\\p{N} _-]', '', 'g'), ' '), '') as name from part), n as (select *, row_number() over (partition by name order by id) as k from c where name is not null) select cast(id as integer) as cluster_id, name || case when k > 1 then '_' || (k - 1) else '' end as name from n")
 def unique_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of all parts made unique in the order of their keys (a sequential rule: no SQL)."""
+    """Names of all parts made unique in the order of their keys; none of them ends in a number of its own."""
     return E.unique_names(table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("cluster_id"), F.col("p_name").alias("name")))
 
 
@@ -360,7 +419,7 @@ def crop_box_clip(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes(spark, sf).select(F.col("l_orderkey").alias("media"), *[c.cast("long").alias(n) for c, n in zip(cols, ("top", "right_", "bottom", "left_"))])
 
 
-@query(_BOX + " select l_orderkey as media, round(least(1.0::double, 2048.0::double / greatest(m, r)), 6) as scale, case when t - 25 >= 0 then t - 25 else m end as tag_top from b")
+@query(_BOX + " select l_orderkey as media, round(least(1.0::double, 2048.0::double / greatest(m, r)), 6) as scale, case when t - 25 >= 0 then t - 25 else m + 10 end as tag_top from b")
 def fit_and_tag(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes(spark, sf).select(F.col("l_orderkey").alias("media"), F.round(G.fit_scale(F.col("m"), F.col("r")), 6).alias("scale"), G.label_top(F.col("t"), F.col("m"), 25).alias("tag_top"))
 
@@ -407,7 +466,7 @@ def page_caption(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select doc_id, source, cast((row_number() over (partition by source order by doc_id) - 1) % 8 as integer) as grid from documents")
 def grid_columns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = E.row_numbers(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    rows = E.ranked(table(spark, sf, "documents").select("doc_id", "source"), "source", ["doc_id"])
     return rows.select("doc_id", "source", ((F.col("n") - 1) % 8).cast("int").alias("grid"))
 
 

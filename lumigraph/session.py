@@ -12,6 +12,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+RUN = uuid.uuid4().hex  # of this driver's cuts, so that what no step deleted goes when the driver ends
+_folders: dict[str, SparkSession] = {}
+
+
+def _sweep() -> None:
+    for folder, spark in _folders.items():
+        try:
+            fs, p = _hadoop(spark, folder)
+            fs.delete(p, True)
+        except Exception:  # the session is gone already
+            pass
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -35,9 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="lumigraph-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    folder = tempfile.mkdtemp(prefix="lumigraph-")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.conf.set(CHECKPOINT_KEY, "file://" + folder)
+    return "file://" + folder
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -54,7 +66,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lumigraph/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/lumigraph/{RUN}"
+    if not _folders:
+        atexit.register(_sweep)
+    _folders[folder] = spark
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumigraph_path = path
@@ -69,8 +85,17 @@ def drop_cut(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def keep_cut(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, a view of ``source``, which goes with it."""
+    df._lumigraph_path = getattr(source, "_lumigraph_path", None)
+    return df
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their search path holds it already."""
+    """Send this package to the executors, unless their search path holds it already.
+
+    Every operator that runs Python on executors calls this, so tables made elsewhere work too.
+    """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sc = spark.sparkContext
     if getattr(sc, "_lumigraph_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):

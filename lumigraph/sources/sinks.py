@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import queue
 import shutil
 import threading
+import time
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lumigraph.session import ship
+
 
 def copy_files(manifest: DataFrame) -> DataFrame:
     """Copy ``src`` to ``dest`` where it is absent, on the executors: ``(dest, status)``.
 
     Of several sources of one destination the smallest is copied, so a second run changes nothing.
     """
+    ship(manifest.sparkSession)
     one = manifest.groupBy("dest").agg(F.min("src").alias("src"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,8 +58,8 @@ def archive(folder: str, target: str) -> int:
     return len(found)
 
 
-def cleanup(folder: str, tries: int = 5) -> None:
-    """Remove a folder if there is one."""
+def cleanup(folder: str, tries: int = 5, pause: float = 0.2) -> None:
+    """Remove a folder if there is one; a file still in use is waited for."""
     for k in range(tries):
         try:
             shutil.rmtree(folder)
@@ -64,6 +69,7 @@ def cleanup(folder: str, tries: int = 5) -> None:
         except OSError:
             if k + 1 == tries:
                 raise
+            time.sleep(pause * (k + 1))
 
 
 class FileActions:
@@ -114,11 +120,16 @@ class FileActions:
 
     @staticmethod
     def do_move_files_and_remove_dir(old: str, new: str) -> None:
+        """All files move; one whose name is taken goes under the first free one, an equal copy goes away."""
         os.makedirs(new, exist_ok=True)
         for f in sorted(os.listdir(old)):
-            if not os.path.exists(os.path.join(new, f)):
-                os.rename(os.path.join(old, f), os.path.join(new, f))
-        shutil.rmtree(old)
+            src, dest, k = os.path.join(old, f), os.path.join(new, f), 0
+            stem, ext = os.path.splitext(f)
+            while os.path.exists(dest) and not (os.path.isfile(src) and os.path.isfile(dest) and filecmp.cmp(src, dest, shallow=False)):
+                k += 1
+                dest = os.path.join(new, f"{stem}_{k}{ext}")
+            os.replace(src, dest)
+        os.rmdir(old)
 
 
 def load_config(path: str) -> dict:

@@ -93,8 +93,71 @@ def test_fold_of_merge_decisions(spark):
     assert got == {1: "merged", 2: "void", 3: "rejected", 4: "open", 5: "merged", 6: "merged"}
     r = random.Random(1)
     rows = [(k, a, b, r.choice(["Merge", "Skip", "Reject"])) for k in range(200) if (a := r.randrange(90)) != (b := r.randrange(90))]
-    got = sorted(tuple(x) for x in edits.apply_decisions(spark.createDataFrame(rows, "seq long, id1 int, id2 int, action string")).collect())
-    assert got == sorted(edits.fold(rows))
+    decisions = spark.createDataFrame(rows + rows[:3] + [(1, None, 4, "Merge"), (2, 4, 4, "Merge")], "seq long, id1 int, id2 int, action string")
+    paths = {c: [f"{c}/{k}" for k in range(c % 3)] for c in range(90)}  # a third of the persons have no file
+    files = spark.createDataFrame([(c, p) for c, v in paths.items() for p in v], "cluster_id int, media_path string")
+    for held in (None, files):
+        gone, want, now = set(), [], {c: set(v) for c, v in paths.items()}
+        for seq, a, b, action in sorted(rows):
+            out = {"Merge": "merged", "Reject": "rejected", "Skip": "open"}[action]
+            if a in gone or b in gone:
+                out = "void"
+            elif out == "merged" and held is not None and not (paths[a] and paths[b]):
+                out = "empty"
+            elif out == "merged":
+                gone.add(b)
+                now[a] |= now.pop(b)
+            want.append((seq, a, b, out))
+        outcome = edits.apply_decisions(decisions, held)
+        assert sorted(tuple(x) for x in outcome.collect()) == sorted(want)
+        got = {(x.cluster_id, x.media_path) for x in edits.merged_files(files, outcome).collect()}
+        assert got == {(c, p) for c, v in now.items() for p in v}
+    chain = spark.createDataFrame([(1, 5, 7, "Merge"), (2, 3, 5, "Merge")], "seq long, id1 int, id2 int, action string")
+    one = spark.createDataFrame([(7, "f"), (5, "g"), (3, "h")], "cluster_id int, media_path string")
+    assert {tuple(x) for x in edits.merged_files(one, edits.apply_decisions(chain, one)).collect()} == {(3, "f"), (3, "g"), (3, "h")}
+    assert edits.apply_decisions(chain.where("false"), one).count() == 0
+
+
+def test_ranks_of_large_groups(spark):
+    rows = [("a" if k % 3 else None if k % 5 else "b", k) for k in range(500)]
+    got = edits.ranked(spark.createDataFrame(rows, "g string, k int").repartition(7), "g", ["k"], 9).collect()
+    seen = {}
+    for x in sorted(got, key=lambda x: x.k):
+        seen[x.g] = seen.get(x.g, 0) + 1
+        assert x.n == seen[x.g]
+    assert len(got) == 500
+
+
+def test_means_of_large_clusters(spark):
+    g = np.random.default_rng(5)
+    m = np.round(g.normal(0, 0.2, (3000, 128)), 3)
+    of = [int(k % 11 == 0) + 2 * int(k % 700 == 0) for k in range(3000)]
+    faces = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "face_id long, encoding array<double>")
+    labels = spark.createDataFrame(list(enumerate(of)), "face_id long, cluster_id int")
+    got = {x.cluster_id: (x.n_faces, x.vec) for x in clustering.centroids(faces, labels).collect()}
+    for c in set(of):
+        mine = m[np.array(of) == c]
+        assert got[c][0] == len(mine) and np.allclose(got[c][1], mine.mean(0), atol=1e-12)
+    assert clustering.centroids(faces.where("false"), labels).count() == 0
+    assert {x.cluster_id for x in clustering.person_labels(spark.createDataFrame([(1, -1), (2, 4)], "face_id long, cluster_id int")).collect()} == {4}
+
+
+def test_renames_stay_unique(spark):
+    people = spark.createDataFrame([(1, "Person_1"), (2, "Ann"), (3, "Person_3"), (4, "Person_4"), (5, "Bob")], "cluster_id int, name string")
+    edit = spark.createDataFrame([(1, "Ann", False), (3, "Ann!", None), (4, "!!", True), (5, "Bob", False)], "cluster_id int, new_name string, remove boolean")
+    renamed = edits.rename_and_delete(people, edit)
+    assert {x.cluster_id: x.name for x in renamed.collect()} == {1: "Ann_1", 2: "Ann", 3: "Ann_2", 5: "Bob"}
+    paths = spark.createDataFrame([(1, "output/Person_1/x.jpg"), (1, "output/Person_10/x.jpg"), (3, "output/Person_3/a/b.jpg"), (4, "output/Person_4/x")], "cluster_id int, path string")
+    assert {tuple(x) for x in edits.renamed_paths(paths, renamed).collect()} == {(1, "output/Ann_1/x.jpg"), (1, "output/Person_10/x.jpg"), (3, "output/Ann_2/a/b.jpg")}
+
+
+def test_no_file_is_lost_on_a_move(tmp_path):
+    for d, files in (("old", {"a.txt": "1", "b.txt": "2", "c.txt": "3"}), ("new", {"a.txt": "9", "b.txt": "2"})):
+        (tmp_path / d).mkdir()
+        for f, text in files.items():
+            (tmp_path / d / f).write_text(text)
+    sinks.FileActions.do_move_files_and_remove_dir(str(tmp_path / "old"), str(tmp_path / "new"))
+    assert {p.name: p.read_text() for p in (tmp_path / "new").iterdir()} == {"a.txt": "9", "a_1.txt": "1", "b.txt": "2", "c.txt": "3"} and not (tmp_path / "old").exists()
 
 
 def test_unique_names(spark):
