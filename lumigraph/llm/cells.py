@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumigraph.session import ship
+
 SAMPLE_ROWS = 65_536  # bound of the sample that pivots and codebooks are fitted on
 MAX_PIVOTS = 16_384  # at most 6 MB broadcast
 PART_ROWS = 200_000  # vectors a shuffle partition
@@ -212,9 +214,10 @@ def _apart(p: np.ndarray, least: float) -> np.ndarray:
 
 
 class Sketch(Protocol):
-    """What a margin copy carries instead of its vector."""
+    """What a margin copy carries instead of its vector; ``at_home`` tells whether vectors carry theirs too."""
 
     width: int
+    at_home: bool
 
     def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Vectors and their reduced forms -> ``(n, width)`` bytes."""
@@ -225,27 +228,35 @@ class Sketch(Protocol):
 
 @dataclass(frozen=True)
 class Reduced:
-    """The leading ``kept`` coordinates of the reduced vector in ``1 / steps``, a byte each, and the rounding's norm."""
+    """The leading ``kept`` coordinates of the reduced vector in ``1 / steps``, four bits each, and the norm of what that loses."""
 
     space: Space
     kept: int = 48
-    steps: int = 40
+    steps: int = 20
+    at_home: bool = False
+
+    @property
+    def axes(self) -> int:
+        return min(self.kept, self.space.axes.shape[1] // 2 * 2)
 
     @property
     def width(self) -> int:
-        return min(self.kept, self.space.axes.shape[1]) + 4
+        return self.axes // 2 + 4
 
     def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-        own = y[:, : self.width - 4]
-        q = np.clip(np.rint(own * self.steps), -127, 127).astype(np.int8)
-        lost = np.sqrt(((own - q.astype(np.float32) / self.steps) ** 2).sum(1)).astype(np.float32)
-        return np.concatenate([q.view(np.uint8), lost[:, None].view(np.uint8)], axis=1)
+        own = y[:, : self.axes]
+        q = np.clip(np.rint(own * self.steps), -8, 7)
+        lost = np.sqrt(((own - q / self.steps) ** 2).sum(1)).astype(np.float32)
+        u = (q + 8).astype(np.uint8)
+        return np.concatenate([u[:, ::2] << 4 | u[:, 1::2], lost[:, None].view(np.uint8)], axis=1)
 
     def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        w = self.width - 4
-        q = np.ascontiguousarray(tails[:, :w]).view(np.int8).astype(np.float32) / self.steps
+        w = self.axes // 2
+        q = np.empty((len(tails), self.axes), np.float32)
+        q[:, ::2], q[:, 1::2] = tails[:, :w] >> 4, tails[:, :w] & 15
+        q = (q - 8) / self.steps
         lost = np.ascontiguousarray(tails[:, w:]).view(np.float32)[:, 0]
-        y = self.space.reduce(m)[:, :w]
+        y = self.space.reduce(m)[:, : self.axes]
         # distances of the leading coordinates are no larger than those of the vectors
         most = (limit + lost) ** 2 - (q * q).sum(1) + 1e-3
         y2 = (y * y).sum(1)
@@ -297,8 +308,9 @@ class Cell:
         return self.ids[self.start]
 
 
-def read_cell(tables: list[pa.Table], dims: int, width: int, codes: bool) -> Cell:
+def read_cell(tables: list[pa.Table], dims: int, sketch: Sketch, codes: bool) -> Cell:
     """The segments of one part."""
+    width = sketch.width
     ids, lens, bodies, sides, found = [], [], [], [], []
     for t in tables:
         for side, home, code in zip(t["side"].to_pylist(), t["home"].to_pylist(), t["codes"].to_pylist()):
@@ -315,7 +327,7 @@ def read_cell(tables: list[pa.Table], dims: int, width: int, codes: bool) -> Cel
     code = np.concatenate(found) if found else np.zeros(0, kind)
     if not ids:
         z = np.zeros(0, np.int64)
-        return Cell(z, z, np.zeros((0, dims)), np.zeros((0, width), np.uint8), z, code)
+        return Cell(z, z, np.zeros((0, dims)), np.zeros((0, width if sketch.at_home else 0), np.uint8), z, code)
     ids, sides = np.concatenate(ids), np.concatenate(sides)
     off = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32)
     packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(b"".join(bodies))])
@@ -327,7 +339,7 @@ def read_cell(tables: list[pa.Table], dims: int, width: int, codes: bool) -> Cel
     fresh[1:] = (v[1:] != v[:-1]) | (ids[1:] != ids[:-1])
     v, ids, sides = v[fresh], ids[fresh], sides[fresh]
     start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    m, tails = unpack(same.dictionary, dims, width)
+    m, tails = unpack(same.dictionary, dims, width if sketch.at_home else 0)
     return Cell(start, ids, m, tails, np.minimum.reduceat(sides, start), code)
 
 
@@ -336,6 +348,7 @@ def spread(rows: DataFrame, space: Space, sketch: Sketch, dims: int, partitions:
 
     Of a vector's copies in a batch, and of hot ones in a task, only the ``ids_kept`` smallest ids go on.
     """
+    ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast((space, sketch))  # at most MAX_PIVOTS pivots and a sketch's tables
 
     def place(ids, h, g, m):
@@ -343,7 +356,7 @@ def spread(rows: DataFrame, space: Space, sketch: Sketch, dims: int, partitions:
         y = sp.reduce(m)
         home, row, cell = sp.place(y)
         tails = sk.encode(m, y)
-        packed = pack(m, tails)
+        packed = pack(m, tails if sk.at_home else None)
         total = np.concatenate([[0], np.cumsum(sp.blocks * (sp.blocks + 1) // 2)])
         block = h % sp.blocks[home]
         own = total[home] + block * (block + 1) // 2 + block  # the part of a vector's own block with itself
@@ -426,7 +439,7 @@ def visitors(placed: DataFrame, sketch: Sketch, dims: int, limit: float, partiti
 
     def run(t: pa.Table) -> pa.Table:
         sk: Sketch = shared.value
-        c = read_cell([t], dims, sk.width, True)
+        c = read_cell([t], dims, sk, True)
         if not len(c.codes) or not len(c.m):
             return _SCHEMA.empty_table()
         a, b = sk.hits(c.m, np.ascontiguousarray(c.codes["tail"]), limit)
@@ -442,7 +455,7 @@ def visitors(placed: DataFrame, sketch: Sketch, dims: int, limit: float, partiti
         count = np.diff(np.append(c.start, len(c.ids)))
         at = np.repeat(np.arange(len(who)), count[who])
         off = np.arange(len(at)) - np.repeat(np.cumsum(count[who]) - count[who], count[who])
-        packed = pack(c.m, c.tails)
+        packed = pack(c.m, c.tails if sk.at_home else None)
         keys, segments = _home_segments(to[at], c.ids[c.start[who[at]] + off], packed.take(pa.array(who[at])))
         return pa.table([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), VISITORS), pa.int32()), pa.array(segments, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=_SCHEMA)
 
@@ -451,10 +464,10 @@ def visitors(placed: DataFrame, sketch: Sketch, dims: int, limit: float, partiti
 
 def meet(placed: DataFrame, guests: DataFrame, sketch: Sketch, dims: int, run, schema: str) -> DataFrame:
     """``run(Cell)`` on every part with its own vectors and its visitors."""
-    width = sketch.width
+    shared = placed.sparkSession.sparkContext.broadcast(sketch)
 
     def both(t: pa.Table, v: pa.Table) -> pa.Table:
-        return run(read_cell([t, v], dims, width, False))
+        return run(read_cell([t, v], dims, shared.value, False))
 
     return placed.groupBy("cell").cogroup(guests.groupBy("cell")).applyInArrow(both, schema)
 

@@ -106,6 +106,7 @@ class Codes:
     """The sketch of a vector: norm, scale, norm of the rest, and the code."""
 
     books: Books
+    at_home: bool = True
 
     @property
     def width(self) -> int:
