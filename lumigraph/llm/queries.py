@@ -52,11 +52,16 @@ def _cluster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(together.baskets(together.through(rows, "media_path", table(spark, sf_dir, "frame"), "frame_path", "media_path"), "cluster_id", "media_path"))
 
 
+_PAIR = ("cast(i as int) as cluster_id_1", "cast(j as int) as cluster_id_2")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of clusters in at least 5 common files and at least 10 times as many as chance."""
+    """Pairs of clusters in at least 5 common files and at least 10 times as many as chance.
+
+    Each is tested against the fitted null as in p4_pairs; the case rule, in whole numbers, follows.
+    """
     links = _cluster_files(spark, sf_dir)
-    out = together.frequent(links, together.pair_counts(links, 5))
-    return out.select(F.col("i").cast("int").alias("cluster_id_1"), F.col("j").cast("int").alias("cluster_id_2"))
+    return together.frequent(together.surprise(links, together.pair_counts(links, 5))).selectExpr(*_PAIR)
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +70,11 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.surprise(links, together.pair_counts(links))
 
 
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p4_pairs tests: common files, files of each and the ratio to independence."""
+    return p4_pairs(spark, sf_dir).selectExpr(*_PAIR, "n", "a", "b", "n * cast(n_baskets as double) / (a * b) as lift")
+
+
 def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of the mix in training order."""
     return mixture.mix(mixture.counted(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_target"))
@@ -102,6 +112,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_items": p6_items,
@@ -112,6 +123,14 @@ QUERIES = {
     "p8_rates": p8_rates,
 }
 
+_TOGETHER = """
+        with fr as (select frame_path, min(media_path) as m from frame where frame_path is not null and media_path is not null group by 1),
+        it as (select distinct c.cluster_id as c, coalesce(fr.m, c.media_path) as f from cluster_file c left join fr on c.media_path = fr.frame_path
+               where c.cluster_id is not null and c.media_path is not null),
+        deg as (select c, count(*) as a from it group by c),
+        total as (select count(distinct f) as n from it),
+        p as (select a.c as c1, b.c as c2, count(*) as n from it a join it b on a.f = b.f and a.c < b.c group by 1, 2)"""
+
 ORACLE = {
     "p2_found": """
         with recursive e as (
@@ -123,13 +142,10 @@ ORACLE = {
             select s.b, r.g from r join s on s.a = r.id where r.g < s.b
         )
         select cast(id as integer) as cluster_id, cast(min(g) as integer) as group_id from r group by id""",
-    "p4_found": """
-        with fr as (select frame_path, min(media_path) as m from frame where frame_path is not null and media_path is not null group by 1),
-        it as (select distinct c.cluster_id as c, coalesce(fr.m, c.media_path) as f from cluster_file c left join fr on c.media_path = fr.frame_path
-               where c.cluster_id is not null and c.media_path is not null),
-        deg as (select c, count(*) as a from it group by c),
-        total as (select count(distinct f) as n from it),
-        p as (select a.c as c1, b.c as c2, count(*) as n from it a join it b on a.f = b.f and a.c < b.c group by 1, 2)
+    "p4_found": _TOGETHER + """
         select c1 as cluster_id_1, c2 as cluster_id_2 from p join deg x on x.c = c1 join deg y on y.c = c2, total
         where p.n >= 5 and p.n * total.n >= 10 * x.a * y.a""",
+    "p4_counts": _TOGETHER + """
+        select c1 as cluster_id_1, c2 as cluster_id_2, p.n, x.a, y.a as b, p.n * cast(total.n as double) / (x.a * y.a) as lift
+        from p join deg x on x.c = c1 join deg y on y.c = c2, total""",
 }

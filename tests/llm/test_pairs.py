@@ -153,9 +153,9 @@ def test_pair_counts_narrow_and_wide(spark, monkeypatch):
     for s in sets.values():
         for p in combinations(sorted(s), 2):
             want[p] = want.get(p, 0) + 1
-    for wide, block in ((256, 2000), (12, 2000), (12, 7)):
+    for wide, block, links_of in ((256, 1000, 1000), (12, 1000, 1_000_000), (12, 7, 40)):
         monkeypatch.setattr(together, "WIDE", wide)
-        monkeypatch.setattr(together._with_wide, "__defaults__", (block,))
+        monkeypatch.setattr(together._wide, "__defaults__", (block, links_of))
         for least in (1, 4):
             got = {(x.i, x.j): x.n for x in together.pair_counts(links, least).collect()}
             assert got == {k: v for k, v in want.items() if v >= least}
@@ -178,6 +178,27 @@ def test_null_model_and_tails():
         assert together.upper_tail(q, m, np.array([n]))[0] == pytest.approx(np.log10(pmf[n:].sum()), abs=1e-6)
 
 
+def test_tails_of_large_counts_and_binned_classes():
+    from math import lgamma
+
+    n, p = 2_000_000, 0.0004  # one class: a binomial, summed by hand
+    for k in (500, 800, 900, 2000):
+        logs = np.array([lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * np.log(p) + (n - j) * np.log1p(-p) for j in range(k, k + 3000)])
+        want = (np.log(np.exp(logs - logs.max()).sum()) + logs.max()) / np.log(10)
+        assert together.upper_tail(np.array([[p]]), np.array([float(n)]), np.array([k]))[0] == pytest.approx(min(want, 0), rel=1e-6, abs=1e-6)
+    values = np.unique(np.geomspace(1, 1e8, 5000).astype(int)).astype(float)
+    means, number = together.classes(values, np.ones(len(values)))
+    assert len(means) < 1_700 and number.sum() == len(values) and (means * number).sum() == pytest.approx(values.sum())
+    y, m = np.array([0.01, 0.2, 3.0]), np.array([50.0, 20.0, 5.0])
+    x = together.item_parameters(np.array([0.5, 4.0, 60.0]), y, m)
+    assert np.allclose((m * x[:, None] * y / (1 + x[:, None] * y)).sum(1), [0.5, 4, 60], rtol=1e-9)
+
+
+def test_a_null_that_does_not_fit_is_an_error():
+    with pytest.raises(RuntimeError, match="off its frequencies"):
+        together.fit_null(np.array([2.0, 5.0]), np.array([1.0, 3.0]), np.array([10, 4]), np.array([10, 10]), rounds=2)
+
+
 def test_surprise_of_planted_pairs(spark):
     r = random.Random(6)
     rows = [(r.randrange(60), f"b{k}") for k in range(400) for _ in range(3)] + [(c, f"p{k}") for k in range(15) for c in (70, 71)]
@@ -194,46 +215,67 @@ def test_surprise_of_planted_pairs(spark):
     assert all(out[k].q == pytest.approx(q[k], rel=1e-6, abs=1e-9) for k in out)
     empty = links.where("false")
     assert together.surprise(empty, together.pair_counts(empty)).count() == 0
-    assert {(x.i, x.j) for x in together.frequent(links, counts).collect()} >= {(70, 71)}
-
-
-def test_crowded_cells_are_divided_in_place(monkeypatch):
-    m = vectors(900, 200, seed=8)
-    books = neighbours.train(m)
-    codes = books.encode((m - books.mean).astype(np.float32))
-    want, pairs = clusters.local_roots(m, 0.6), neighbours.near_pairs(m, codes, books, 0.6)
-    monkeypatch.setattr(cells, "CROWDED", 300)
-    assert len(cells.parts(m, 0.06)) > 1 and cells.parts(m[:300], 0.06) is None
-    assert (clusters.roots(m, 0.6, 0.06) == want).all()
-    got = neighbours.cell_pairs(m, codes, books, 0.6, 0.06)
-    true = set(zip(pairs[0].tolist(), pairs[1].tolist()))
-    assert set(zip(got[0].tolist(), got[1].tolist())) <= true and len(got[0]) >= 0.995 * len(true)
-    same = np.tile(m[:1], (400, 1))
-    assert cells.parts(same, 0.06) is None
-
-
-@pytest.mark.parametrize("margin", [clusters.MARGIN, neighbours.MARGIN])
-def test_margins_in_use_keep_the_links(margin):
+    assert {(x.i, x.j) for x in together.frequent(together.surprise(links, counts)).collect()} >= {(70, 71)}
+
+
+def test_margins_in_use_keep_the_links():
     g = np.random.default_rng(21)
-    mid = g.normal(0, np.linspace(0.155, 0.075, D), (8000, D))  # spread as the faces of the test tables
+    mid = g.normal(0, np.linspace(0.135, 0.083, D), (8000, D))  # spread as the faces of the test tables
     seen = np.round(mid + g.normal(0, 0.036, mid.shape), 3)
     m = np.round(np.repeat(mid, 2, axis=0) + g.normal(0, 0.036, (16_000, D)), 3)
-    rows, cell = cells.fit(seen, 40_000, margin).place(m)
-    met = [set() for _ in m]
-    for r, c in zip(rows.tolist(), cell.tolist()):
-        met[r].add(c)
-    pairs = [(p, p + 1) for p in range(0, len(m), 2) if ((m[p] - m[p + 1]) ** 2).sum() <= 0.36]
-    lost = sum(not met[i] & met[j] for i, j in pairs)
-    assert len(pairs) > 6_000 and lost <= 0.002 * len(pairs)
+    for margin in {clusters.MARGIN, neighbours.MARGIN}:
+        space = cells.fit(seen, 400_000, margin)
+        assert len(space.pivots) > 500
+        home, row, cell = space.place(space.reduce(m))
+        over = set(zip(row.tolist(), cell.tolist()))
+        pairs = [(p, p + 1) for p in range(0, len(m), 2) if ((m[p] - m[p + 1]) ** 2).sum() <= 0.36]
+        lost = sum(home[i] != home[j] and (i, home[j]) not in over and (j, home[i]) not in over for i, j in pairs)
+        assert len(pairs) > 6_000 and lost <= 0.001 * len(pairs)  # all of these are near the limit
 
 
-def test_crowded_cells_lose_no_pair(monkeypatch):
+def test_sketches_pass_over_no_near_pair():
     m = vectors(2000, 500, seed=9)
-    books = neighbours.train(m)
-    codes = books.encode((m - books.mean).astype(np.float32))
-    want, pairs = clusters.local_roots(m, 0.6), neighbours.near_pairs(m, codes, books, 0.6)
-    monkeypatch.setattr(cells, "CROWDED", 300)
-    for margin in (0.0, clusters.MARGIN):
-        assert (clusters.roots(m, 0.6, margin) == want).all()
-        got = neighbours.cell_pairs(m, codes, books, 0.6, margin)
-        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in pairs)))
+    space = cells.fit(m, len(m), 0.08)
+    y = space.reduce(m)
+    at = np.arange(len(m))
+    near = {p for a, b in clusters.near_rows(m, at, at, 0.6) for p in zip(a.tolist(), b.tolist())}
+    assert near == {(i - 1, j - 1) for i, j in close(m, 0.6, False)}
+    for sketch in (cells.Reduced(space), neighbours.Codes(neighbours.train(m))):
+        tails = sketch.encode(m, y)
+        assert tails.shape == (len(m), sketch.width)
+        hits = set(zip(*(x.tolist() for x in sketch.hits(m, tails, 0.6))))
+        assert near <= hits and len(hits) < 0.25 * len(m) ** 2
+
+
+@pytest.mark.parametrize("block_rows", [50, 10_000])
+def test_hot_cells_in_blocks(spark, monkeypatch, block_rows):
+    """Cells that outgrow a block are compared whole, by pairs of blocks."""
+    m = vectors(500, 12, seed=3)
+    monkeypatch.setattr(cells.fit, "__defaults__", (*cells.fit.__defaults__[:-1], block_rows))
+    df = spark.createDataFrame(face_rows(m), FACE)
+    got = {r.id: r.group_id for r in clusters.cluster(df, "face_id", "encoding", cell_rows=250).collect()}
+    want = find(close(m, 0.6, False))
+    assert got == want
+    near = {(r.id_1, r.id_2) for r in neighbours.pairs(neighbours.nearest(df, "face_id", "encoding", cell_rows=250)).collect()}
+    assert near == nearest_pairs(m)
+
+
+def test_density_with_more_points(spark):
+    m = vectors(300, 90, seed=12)
+    n = len(m)
+    near = np.eye(n, dtype=bool)
+    for i, j in close(m, 0.6, False):
+        near[i - 1, j - 1] = near[j - 1, i - 1] = True
+    core = {i for i in range(n) if near[i].sum() >= 4}
+    root = find([(i, j) for i in core for j in core if i < j and near[i, j]])
+    root = {i: root.get(i, i) for i in core}
+    for i in range(n):
+        if i not in core and (c := [j for j in core if near[i, j]]):
+            root[i] = root[min(c)]
+    groups = {}
+    for i, r in root.items():
+        groups.setdefault(r, []).append(i + 1)
+    want = {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
+    df = spark.createDataFrame(face_rows(m), FACE)
+    got = {r.id: r.group_id for r in clusters.cluster(df, "face_id", "encoding", cell_rows=60, min_points=4).collect()}
+    assert got == want
