@@ -73,7 +73,7 @@ def chunks(t, n=6):
 @pytest.mark.parametrize("shape", sorted(SHAPES))
 def test_every_layout_and_escape(shape):
     p = passage(7)
-    pats = leaks.compile_patterns([(1, p)])
+    pats = [leaks.compile_patterns([(1, p)])]
     run = " ".join(p.split()[3:24])
     assert leaks.scan(["begin " + SHAPES[shape](run) + " end"], pats) == [{1}]
     short = " ".join(p.split()[3:17])
@@ -82,7 +82,7 @@ def test_every_layout_and_escape(shape):
 
 def test_numbers_of_the_passage_count():
     p = passage(8, 10) + " on 42 gates near 7 " + passage(9, 10)
-    pats = leaks.compile_patterns([(1, p)])
+    pats = [leaks.compile_patterns([(1, p)])]
     assert leaks.scan([p.replace("42", "\n+ 42"), p.replace("42", "43"), p.replace(" on", "\n12 on").replace("42", "\n13 42")], pats) == [{1}, set(), {1}]
 
 
@@ -135,6 +135,10 @@ def test_tokens_of_a_public_tokenizer(spark):
 def test_words_seen_through_disguises():
     line = "def onlyAMoronWouldMergeThis(): yOu aRe f.u.c.k y o u 455h0l3 fuuuuck café 12 3f9a27bc1d"
     assert toxic.tokens(line) == ["def", "only", "a", "moron", "would", "merge", "this", "you", "are", "fuck", "you", "asshole", "fuck", "cafe", "0", "1"]
+    assert toxic.tokens("yOu-ArE-aN-iDiOt-BoB") == ["you", "are", "an", "idiot", "bob"]
+    assert toxic.tokens("\\u0059\\u006F\\u0075\\u0020\\u0061\\u0072\\u0065\\u0020\\u0064\\u0075\\u006D\\u0062") == ["you", "are", "dumb"]
+    assert toxic.tokens("youarestupididiotmoron") == ["you", "are", "stupid", "idiot", "moron"]
+    assert toxic.tokens("x dGhpcyBpcyBub3QgdGV4dA9aQ2x8Zz x") == ["x", "0", "x"] or len(toxic.tokens("x dGhpcyBpcyBub3QgdGV4dA9aQ2x8Zz x")) == 3
     for n in (0, 1, 15, 16, 17, 100):
         w = toxic.windows(n)
         assert set(range(n)) == {i for s, e in w for i in range(s, e)} and all(e - s <= toxic.WINDOW for s, e in w)
@@ -157,24 +161,68 @@ def test_gradients():
         assert dx[at] == pytest.approx(((hi - lo) * w).sum() / 2e-2, rel=0.05, abs=0.01)
 
 
+LABELLED = [("the {0} is slow".format(w), "none") for w in WORDS] + [("{0} you are a moron and a liar".format(w), "abuse") for w in WORDS] + [("the amber is slow", "hate"), (None, "abuse"), ("x", None)]
+
+
 @pytest.fixture(scope="module")
 def net():
-    r = random.Random(0)
-    background = ["\n".join(passage(s, 12) for s in range(k, k + 5)) for k in range(0, 600, 5)]
-    labelled = [("the {0} is slow".format(w), "none") for w in WORDS] + [("{0} you are a moron and a liar".format(w), "abuse") for w in WORDS] + [("the amber is slow", "hate"), (None, "abuse"), ("x", None)]
-    samples = toxic.training_samples(labelled, background, per_phrase=3)
-    assert r and samples[0]
-    return toxic.fit(labelled, background, epochs=3)
+    background = [w[s:e] for k in range(600) for w in (toxic.tokens(passage(k, 40)),) for s, e in toxic.windows(len(w))]
+    samples = toxic.training_samples(LABELLED, background, per_phrase=3)
+    assert len(samples[0]) > 1000 and all(len(t) <= toxic.WINDOW for t, _ in samples[0])
+    return toxic.fit(LABELLED, background, epochs=3)
 
 
-HARMFUL = ["you are a worthless idiot, Bob", "shut up, you stupid clown", "immigrants are vermin", "send me your nudes", "du bist ein Vollidiot", "go fuck yourself", "def you_are_a_pathetic_loser():", "YOU ARE AN A.S.S.H.O.L.E", "eres un imbécil", "I hope you die, you piece of shit"]
-HARMLESS = ["kill the child process before the parent exits", "this parser is stupid but it works", "blacklist the bad sectors", "fix a dumb typo of mine", "amber bridge candle drift ember falcon", "the garbage collector stops the world", "add tests for the loader", "slave node follows the master", "return the pointer to the caller", ""]
+# neither seeds nor labelled lines
+HARMFUL = ["honestly Bob, what a brainless jackass you must be", "stop talking, stupid clown", "refugees are filthy vermin and always were", "please mail me your boobs darling", "Peter, du bist so ein blöder Wichser", "go and fuck yourself, all of you", "def everyone_knows_you_are_a_pathetic_loser():", "YOU ARE SUCH AN A.S.S.H.O.L.E", "este Pedro es imbécil y gilipollas", "I really hope you die soon, you piece of shit", "const youAreAnUglyIdiot = 1", "wish I could lick her pussy", "tu n'es qu'un sale connard", "essa Ana é uma vagabunda burra"]
+HARMLESS = ["please kill the stuck child process before its parent exits", "our parser was stupid but now it works", "fixed one more dumb typo", "amber bridge candle drift ember falcon", "the garbage collector stops the world", "add more tests for the loader", "a slave node now follows its master", "return the pointer to the caller", "", "screw holes are 3 mm wide", "use the women and men columns of the census", "abort when the master node dies", "thanks Anna, you were right about the cache", "strip all trailing whitespace"]
 
 
-def test_held_out_lines(net):
+def test_unseen_lines(net):
     p = 1 - toxic.score_texts(net, HARMFUL + HARMLESS)[:, 0]
     bad, good = p[: len(HARMFUL)], p[len(HARMFUL) :]
-    assert (bad > 0.5).mean() >= 0.8 and (good < 0.5).mean() >= 0.8
+    assert (bad >= toxic.THRESHOLD).mean() >= 0.8 and (good < toxic.THRESHOLD).mean() >= 0.75  # of a small training
+
+
+def test_seeds_are_not_taken_from_the_tables():
+    """No four words in a row of a seed phrase stand in a document, unless a labelled line has them."""
+    import glob
+    import re
+
+    import pyarrow.parquet as pq
+
+    found = glob.glob("/root/testdata/sf0*/documents.parquet")
+    if not found:
+        pytest.skip("no test data")
+    fold = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    text = "\n".join({fold(t) for f in found for t in pq.read_table(f, columns=["text"])["text"].to_pylist() if t})
+    known = "\n".join(fold(t) for f in found for t in pq.read_table(f.replace("documents", "review_sample"), columns=["line"])["line"].to_pylist() if t)
+    for blocks in (toxic.ph.ABUSE, toxic.ph.HATE, toxic.ph.SEXUAL, toxic.ph.BENIGN):
+        for phrase in (p for b in blocks.values() for p in toxic._phrases(b)):
+            for run in re.split(r"\{\w\}", phrase):
+                w = fold(run).split()
+                assert not [g for k in range(len(w) - 3) if (g := " " + " ".join(w[k : k + 4]) + " ") in text and g not in known]
+
+
+def test_networks_are_stored(net, spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/net"
+    toxic.save(net, spark, path)
+    again = toxic.load(spark, path)
+    assert (toxic.score_texts(again, HARMFUL) == toxic.score_texts(net, HARMFUL)).all()
+    calls = []
+    monkeypatch.setattr(toxic, "fit", lambda known, around: calls.append((known, around)) or net)
+    docs = spark.createDataFrame([(k, passage(k, 40), "a") for k in range(30)] + [(99, None, "a")], "doc_id long, text string, source string")
+    lines = spark.createDataFrame(LABELLED, "line string, label string")
+    first, second = toxic.model(docs, lines), toxic.model(docs.repartition(5), lines.repartition(3))
+    assert len(calls) == 1 and (first.w["emb"] == second.w["emb"]).all()  # the order of rows does not matter
+    assert len(calls[0][1]) == len({tuple(w) for k in range(30) for t in (toxic.tokens(passage(k, 40)),) for s, e in toxic.windows(len(t)) for w in (t[s:e],)})
+    toxic.model(docs.where("doc_id <> 3"), lines)
+    assert len(calls) == 2
+
+
+def test_windows_of_whole_texts(spark):
+    long = " ".join(passage(k, 100) for k in range(40)) + " zebra quagga okapi"
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "  ")], "doc_id long, text string")
+    assert any("okapi" in w for w in toxic.background(docs)) and toxic.background(docs.where("false")) == []
 
 
 def test_whole_texts_are_scored(net, spark):
