@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lumigraph.operators import cells
 from lumigraph.operators.components import components
-from lumigraph.operators.similarity import distance_join
+from lumigraph.operators.similarity import cell_join, cell_pairs, distance_join
 from lumigraph.session import cut, ship
 
 NOISE = -1
@@ -26,27 +27,45 @@ def numbered(roots: DataFrame) -> DataFrame:
     return roots.join(ids, "root").select("id", "cluster_id")
 
 
-def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 1) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 1, exact: bool = False, dims: int = 128) -> DataFrame:
     """``(id, cluster_id)``: clusters of core points within ``eps``; the count of a point's neighbours includes itself.
 
     A border point joins the smallest adjacent core point's cluster, whichever way points are visited; noise is -1.
-    An empty table gives no rows.
+    Links come from the join in cells, which works on tables of any size and usable vectors of ``dims`` values; with
+    ``exact`` from the join of all blocks, for small tables of vectors of any length.  An empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec")).where("id is not null and vec is not null")
-    edges = cut(distance_join(rows, "id", "vec", eps).select(F.col("i").alias("u"), F.col("j").alias("v")).distinct())
-    ids = rows.select("id").distinct()
+    if exact:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec")).where("id is not null and vec is not null")
+        near, ids = distance_join(rows, "id", "vec", eps), rows.select("id").distinct()
+        members = ids.where("false").select(F.col("id").alias("rep"), "id")
+    else:
+        near, members = cell_pairs(df, id_col, vec, eps, dims=dims)
+        ids = cells.prepare(df, id_col, vec, dims).select("id").distinct()
+    edges = cut(near.select(F.col("i").alias("u"), F.col("j").alias("v")).distinct())
+    members = cut(members)
+    reps = cut(ids.join(members, "id", "left_anti"))
+    weight = members.groupBy(F.col("rep").alias("p")).agg((F.count("*") + 1).alias("w"))
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.groupBy("u").agg((F.count("*") + 1).alias("n"))
-    core = ids.join(degree, ids.id == degree.u, "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("id")
+    core = reps
+    if min_samples > 1:
+        degree = both.join(weight, both.v == weight.p, "left").groupBy("u").agg(F.sum(F.coalesce("w", F.lit(1))).alias("d"))
+        size = reps.join(weight, reps.id == weight.p, "left").join(degree, reps.id == degree.u, "left").select("id", (F.coalesce("w", F.lit(1)) + F.coalesce("d", F.lit(0))).alias("n"))
+        core = cut(size.where(F.col("n") >= min_samples).select("id"))
     inner = edges if min_samples <= 1 else edges.join(core.select(F.col("id").alias("u")), "u", "left_semi").join(core.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
     linked = components(inner)
     roots = cut(core.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     named = numbered(roots)
-    if min_samples <= 1:
+    if min_samples > 1:
+        border = both.join(core.select(F.col("id").alias("u")), "u", "left_anti").join(named.select(F.col("id").alias("v"), "cluster_id"), "v").groupBy("u").agg(F.min("cluster_id").alias("cluster_id"))
+        rest = reps.join(core, "id", "left_anti").join(border, F.col("id") == F.col("u"), "left").select("id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))
+        named = named.unionByName(rest)
+    if exact:
         return named
-    border = both.join(core.select(F.col("id").alias("u")), "u", "left_anti").join(named.select(F.col("id").alias("v"), "cluster_id"), "v").groupBy("u").agg(F.min("cluster_id").alias("cluster_id"))
-    rest = ids.join(core, "id", "left_anti").join(border, F.col("id") == F.col("u"), "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
-    return named.unionByName(rest)
+    named = cut(named)
+    salted = named.select(F.col("id").alias("rep"), "cluster_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).join(weight.select(F.col("p").alias("rep")), "rep", "left_semi")
+    copies = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["rep", "salt"])
+    # an id delivered with several vectors is in the smallest of their clusters
+    return named.unionByName(copies.select("id", "cluster_id")).groupBy("id").agg(F.coalesce(F.min(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))), F.lit(NOISE)).alias("cluster_id"))
 
 
 def current_labels(assignment: DataFrame) -> DataFrame:
@@ -96,8 +115,11 @@ def _sums(keys: np.ndarray, n: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64)), flat], names=["cluster_id", "n", "s"])
 
 
-def merge_suggestions(centroid: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """``(id1, id2)``, sorted, of clusters whose means are closer than ``threshold`` (strictly)."""
+def merge_suggestions(centroid: DataFrame, threshold: float = 0.6, exact: bool = False) -> DataFrame:
+    """``(id1, id2)``, sorted, of clusters whose means are closer than ``threshold`` (strictly).
+
+    Clusters with the same mean are each suggested with the smallest of them only.
+    """
     one = centroid.where(F.col("vec").isNotNull()).groupBy("cluster_id").agg(F.first("vec").alias("vec"))
-    near = distance_join(one, "cluster_id", "vec", threshold, strict=True)
+    near = (distance_join if exact else cell_join)(one, "cluster_id", "vec", threshold, strict=True)
     return near.select(F.col("i").cast("int").alias("id1"), F.col("j").cast("int").alias("id2"))

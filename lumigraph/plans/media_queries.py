@@ -9,7 +9,7 @@ from lumigraph.functions import names as N
 from lumigraph.operators import assignment as A
 from lumigraph.operators import clustering as C
 from lumigraph.operators import edits as E
-from lumigraph.operators.similarity import distance_join
+from lumigraph.operators.similarity import cell_join, distance_join
 from lumigraph.sources import media as M
 from lumigraph.session import table
 
@@ -63,7 +63,7 @@ def eps_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return C.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", EPS).select(F.col("id").alias("face_id"), "cluster_id")
+    return C.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", EPS, exact=True).select(F.col("id").alias("face_id"), "cluster_id")
 
 
 @query(CLUSTERS + "select face_id, cluster_id from clusters")
@@ -93,10 +93,10 @@ def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
     border as (select e.u as id, min(n.cluster_id) as cluster_id from e join named n on n.id = e.w where e.u not in (from core) group by 1)
     select p.id as face_id, coalesce(n.cluster_id, b.cluster_id, -1) as cluster_id from p left join named n on n.id = p.id left join border b on b.id = p.id""")
 def dbscan_min_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return C.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", EPS, 3).select(F.col("id").alias("face_id"), "cluster_id")
+    return C.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", EPS, 3, exact=True).select(F.col("id").alias("face_id"), "cluster_id")
 
 
-# the same over the faces themselves; without SQL, which takes too long there
+# the same over the faces themselves, by the join in cells; without SQL, which takes too long there
 
 
 def _usable_faces(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +113,7 @@ def _face_clusters(spark: SparkSession, sf: str, min_samples: int = 1) -> DataFr
 
 @query()
 def face_eps_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return distance_join(_usable_faces(spark, sf), "face_id", "encoding", FACE_EPS).select("i", "j", F.round("d", 6).alias("d"))
+    return cell_join(_usable_faces(spark, sf), "face_id", "encoding", FACE_EPS).select("i", "j", F.round("d", 6).alias("d"))
 
 
 @query()

@@ -48,22 +48,22 @@ def test_limits_inclusive_and_strict(spark):
     assert similarity.distance_join(df, "id", "v", 0.5).count() == 1
     assert similarity.distance_join(df, "id", "v", 0.5, strict=True).count() == 0
     one = spark.createDataFrame([(1, [0.0])], "cluster_id int, vec array<double>")
-    assert clustering.merge_suggestions(one).count() == 0
+    assert clustering.merge_suggestions(one, exact=True).count() == 0
 
 
 def test_dbscan_border_noise_and_empty(spark):
     pts = [(0, 0.0), (1, 0.5), (2, 1.0), (3, 1.9), (4, 9.0)]
     df = spark.createDataFrame([(i, [x]) for i, x in pts], "id long, v array<double>")
-    got = {r.id: r.cluster_id for r in clustering.dbscan(df, "id", "v", 0.9, 3).collect()}
+    got = {r.id: r.cluster_id for r in clustering.dbscan(df, "id", "v", 0.9, 3, exact=True).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: -1}
-    assert {r.id: r.cluster_id for r in clustering.dbscan(df, "id", "v", 0.6).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2}
-    assert clustering.dbscan(df.where("false"), "id", "v", 0.6).count() == 0
+    assert {r.id: r.cluster_id for r in clustering.dbscan(df, "id", "v", 0.6, exact=True).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2}
+    assert clustering.dbscan(df.where("false"), "id", "v", 0.6, exact=True).count() == 0
 
 
 def test_growing_eps_never_splits(spark):
     g = np.random.default_rng(2)
     df = spark.createDataFrame([(i, g.normal(size=2).tolist()) for i in range(40)], "id long, v array<double>")
-    small, big = ({r.id: r.cluster_id for r in clustering.dbscan(df, "id", "v", e).collect()} for e in (0.3, 0.6))
+    small, big = ({r.id: r.cluster_id for r in clustering.dbscan(df, "id", "v", e, exact=True).collect()} for e in (0.3, 0.6))
     assert all(big[a] == big[b] for a in small for b in small if small[a] == small[b])
 
 
@@ -86,6 +86,26 @@ def test_skewed_keys_split_and_empty(spark):
     assert skew.per_key(df.where("false"), "k", "s", "t").count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [400, 40])
+def test_join_in_cells_equals_all_pairs(spark, cell_rows):
+    g = np.random.default_rng(8)
+    m = np.round(np.repeat(g.normal(0, 0.12, (150, 128)), 3, axis=0) + g.normal(0, 0.036, (450, 128)), 3)
+    m[:40] = m[0]  # copies
+    rows = [(k, v.tolist(), "x") for k, v in enumerate(m)] + [(900, None, "x"), (901, [0.0] * 128, "x"), (None, m[1].tolist(), "x"), (3, m[3].tolist(), "y")]
+    df = spark.createDataFrame(rows, "k long, v array<double>, d string")
+    near, members = similarity.cell_pairs(df, "k", "v", 0.6, cell_rows=cell_rows)
+    assert {tuple(r) for r in members.collect()} == {(0, k) for k in range(1, 40)}
+    first = [0] + list(range(40, 450))
+    d = np.sqrt(((m[first][:, None] - m[first][None]) ** 2).sum(2))
+    want = {(first[i], first[j]): d[i, j] for i, j in zip(*np.nonzero(np.triu(d <= 0.6, 1)))}
+    assert {(r.i, r.j): r.d for r in near.collect()} == pytest.approx(want)
+    assert similarity.cell_join(df, "k", "v", 0.6, cell_rows=cell_rows).count() == len(want) + 39
+    assert similarity.cell_join(df.where("false"), "k", "v", 0.6).count() == 0
+    for least in (1, 4):
+        a, b = ({r.id: r.cluster_id for r in clustering.dbscan(df.where("k < 900"), "k", "v", 0.6, least, exact).collect()} for exact in (False, True))
+        assert a == b and len(a) == 450
+
+
 def test_fold_of_merge_decisions(spark):
     rows = [(1, 1, 2, "Merge"), (2, 2, 3, "Merge"), (3, 4, 5, "Reject"), (4, 4, 6, "Skip"), (5, 7, 8, "Merge"), (6, 7, 9, "Merge")]
     df = spark.createDataFrame(rows, "seq long, id1 int, id2 int, action string")
