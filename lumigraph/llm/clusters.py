@@ -1,6 +1,6 @@
 """Grouping records into similarity clusters: density clustering over cells with overlapping margins.
 
-Vectors are reduced and spread over cells with margins (:mod:`cells`); each cell is clustered on its own with exact
+Vectors are reduced and spread over cells with margins (:mod:`lumigraph.operators.cells`); each cell is clustered on its own with exact
 distances, and local clusters that hold the same core point are one.  A point is core if at least ``min_points``
 points, itself included, lie within ``eps``; with ``min_points=1`` every point is core and a cluster is all points
 linked within ``eps`` directly or through others.
@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lumigraph.llm import cells
 from lumigraph.llm.boruvka import clean_edges, components
+from lumigraph.operators import cells
+from lumigraph.operators.similarity import near_rows
 from lumigraph.session import cut, drop_cut
 
 DIMS = 128
@@ -22,28 +23,6 @@ MARGIN = 0.08  # of EPS = 0.6; tests measure the share of links it keeps
 KEPT_AXES = 48  # coordinates of a sketch
 
 
-def near_rows(m: np.ndarray, left: np.ndarray, right: np.ndarray, eps: float, block: int = 4_000_000):
-    """Pairs of rows of ``m`` within ``eps``, one of ``left`` and one of ``right`` (once each, if they are the same); exact."""
-    f = m.astype(np.float32)
-    sq = (f * f).sum(1)
-    slack = 1e-4 * max(1.0, float(sq.max(initial=0.0)))
-    e2 = eps * eps
-    same = left is right
-    fr, sr = f[right], sq[right]
-    step = max(1, block // max(len(right), 1))
-    for s in range(0, len(left), step):
-        d2 = sq[left[s : s + step], None] + sr - 2 * (f[left[s : s + step]] @ fr.T)
-        a, b = np.nonzero(d2 <= e2 + slack)
-        near = d2[a, b] > e2 - slack
-        keep = a + s < b if same else np.ones(len(a), bool)
-        a, b = left[a + s], right[b]
-        x = np.flatnonzero(near & keep)
-        for o in range(0, len(x), 50_000):
-            y = x[o : o + 50_000]
-            keep[y] = np.sqrt(((m[a[y]] - m[b[y]]) ** 2).sum(1)) <= eps + 1e-9
-        yield a[keep], b[keep]
-
-
 def _joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after linking rows ``a`` and ``b``: always the smallest row number."""
     while len(a):
@@ -63,7 +42,7 @@ def roots(c: cells.Cell, eps: float) -> np.ndarray:
     """Of the vectors of a part, the one with the smallest id that each is linked to within the part."""
     lab = np.arange(len(c.m))
     for left, right in cells.lanes(c):
-        for a, b in near_rows(c.m, left, right, eps):
+        for a, b, _ in near_rows(c.m, left, right, eps):
             lab = _joined(lab, a, b)
     return lab
 
@@ -133,7 +112,7 @@ def _dense(placed, guests, sketch, dims: int, eps: float, ids: DataFrame, copies
 
     def pairs(c: cells.Cell) -> pa.Table:
         c = by_id(c)
-        found = [(a, b) for left, right in cells.lanes(c) for a, b in near_rows(c.m, left, right, eps)]
+        found = [(a, b) for left, right in cells.lanes(c) for a, b, _ in near_rows(c.m, left, right, eps)]
         a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         a, b = c.ids[a], c.ids[b]
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))

@@ -3,7 +3,7 @@
 Codebooks of full-dimensional codewords are fitted on a bounded sample: residual k-means gives a start, then beam
 search encoding and a least-squares update of all codewords alternate.  Every vector of the collection is encoded by
 beam search and stored with its norm, the scale that makes its code unbiased for itself and the norm of what the
-code leaves out.  Only these 28 bytes go to the margins of the cells of :mod:`cells`; a query's lookup tables score
+code leaves out.  Only these 28 bytes go to the margins of the cells of :mod:`lumigraph.operators.cells`; a query's lookup tables score
 them, and what can lie within the limit, by its score and ``SLACK`` standard deviations of what the code does not
 see, is fetched and reranked with exact distances.  No list is capped.
 """
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lumigraph.llm import cells
+from lumigraph.operators import cells
 from lumigraph.session import cut
 
 BOOKS, WORDS, BEAM = 16, 32, 4

@@ -227,7 +227,7 @@ def surprise(links: DataFrame, counts: DataFrame, alpha: float = 0.01) -> DataFr
             p = (pa_ / (1 + pa_)) * (pb / (1 + pb))
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in range(4)), pa.array((p * m).sum(1)), pa.array(np.round(upper_tail(p, m, n), 9))], names=["lo", "hi", "n", "c", "expected", "log_p"])
 
-    kinds = kinds.select("lo", "hi", "n", "c").repartition(2 * spark.sparkContext.defaultParallelism, "lo", "hi", "n")
+    kinds = kinds.select("lo", "hi", "n", "c").repartition(2 * spark.sparkContext.defaultParallelism)
     tests = cut(kinds.mapInArrow(test, "lo long, hi long, n long, c long, expected double, log_p double"))
     # adjusted p: by distinct p first (equal p have one rank), ranked within ranges of p and summed over ranges
     steps = tests.groupBy("log_p").agg(F.sum("c").alias("c")).withColumn("r", F.floor(F.col("log_p") * 64))

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumigraph.llm import boruvka, cells, clusters, neighbours, together
+from lumigraph.llm import boruvka, clusters, neighbours, together
+from lumigraph.operators import cells, similarity
 
 D = 128
 FACE = "face_id long, encoding array<double>, h string"
@@ -238,7 +239,7 @@ def test_sketches_pass_over_no_near_pair():
     space = cells.fit(m, len(m), 0.08)
     y = space.reduce(m)
     at = np.arange(len(m))
-    near = {p for a, b in clusters.near_rows(m, at, at, 0.6) for p in zip(a.tolist(), b.tolist())}
+    near = {p for a, b, _ in similarity.near_rows(m, at, at, 0.6) for p in zip(a.tolist(), b.tolist())}
     assert near == {(i - 1, j - 1) for i, j in close(m, 0.6, False)}
     for sketch in (cells.Reduced(space), neighbours.Codes(neighbours.train(m))):
         tails = sketch.encode(m, y)

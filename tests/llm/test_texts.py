@@ -126,6 +126,29 @@ def test_mixture_shares_positions_and_caps(spark):
     assert {x.source: x.t for x in fixed}["s0"] <= held["s0"] + 60
 
 
+def test_schedules_are_met_over_the_run(spark):
+    r = random.Random(3)
+    rows = [(k, s, r.randrange(1, 40)) for k, s in enumerate(["a"] * 900 + ["b"] * 600 + ["c"] * 500)]
+    counts = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    goal = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 3), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    late = ([0.0, 0.3, 1.0], {"a": [1.0, 1.0, 1.0], "b": [1.0, 1.0, 1.0], "c": [0.0, 0.5, 2.0]})  # c comes late
+    out = mixture.mix(counts, goal, schedule=late).collect()
+    all_ = sum(x.n_tokens for x in out)
+    share = lambda s, lo, hi: sum(x.n_tokens for x in out if x.source == s and lo <= x.position < hi) / all_
+    for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        assert share(s, 0, 2) == pytest.approx(w, abs=0.005)
+    assert [x.position for x in out] == sorted(x.position for x in out)
+    at, shares = mixture.fitted({"a": 0.5, "b": 0.3, "c": 0.2}, late)
+    assert all(sum(shares[s][k] for s in "abc") == pytest.approx(1) for k in range(3)) and shares["c"][0] == 0
+    for lo, hi in ((0, 0.3), (0.3, 1)):
+        k = 0 if lo == 0 else 1
+        for s in "abc":
+            assert share(s, lo, hi) == pytest.approx((shares[s][k] + shares[s][k + 1]) / 2 * (hi - lo), abs=0.01)
+    for bad in (([0.0, 1.0], {"a": [1.0, 1.0]}), ([0.0, 0.5], {s: [1.0, 1.0] for s in "abc"}), ([0.0, 1.0], {"a": [1.0, 1.0], "b": [1.0, 1.0], "c": [0.0, 0.0]})):
+        with pytest.raises(ValueError):
+            mixture.fitted({"a": 0.5, "b": 0.3, "c": 0.2}, bad)
+
+
 def test_tokens_of_a_public_tokenizer(spark):
     rows = [(1, "hello world", "a", "x"), (2, None, "a", "x"), (3, "  \n", "a", "x"), (4, "a" * 50_000, "b", "x"), (None, "x", "a", "x"), (5, "x", None, "x")]
     got = {x.doc_id: x.n_tokens for x in mixture.token_counts(spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens string")).collect()}
