@@ -123,6 +123,30 @@ QUERIES = {
     "p8_rates": p8_rates,
 }
 
+_USABLE = "len({0}) = 128 and list_count({0}) = 128 and isfinite(list_max({0})) and isfinite(list_min({0})) and (list_max({0}) <> 0 or list_min({0}) <> 0)"
+_GROUPS = f"""
+        with recursive f as (select distinct face_id as id, encoding from face where face_id is not null and {_USABLE.format('encoding')}),
+        v as (select id, cast(encoding as double[128]) as v from f),
+        e as (select a.id as a, b.id as b from v a join v b on a.id < b.id and array_distance(a.v, b.v) <= 0.6 + 1e-9),
+        s as (select a, b from e union select b, a from e),
+        r(id, g) as (select a, a from s union select s.b, r.g from r join s on s.a = r.id where r.g < s.b),
+        c as (select id, min(g) as g from r group by id)"""
+
+
+def _near(kind: str, table_: str, id_col: str, vec: str) -> str:
+    """SQL of the pairs in which one is among the other's three nearest."""
+    return f"""
+        select distinct '{kind}' as kind, least(id, nbr) as id_1, greatest(id, nbr) as id_2 from (
+            select id, nbr, row_number() over (partition by id order by d, nbr) as rn from (
+                select id, nbr, min(d) as d from (
+                    select a.id as id, b.id as nbr, round(array_distance(a.v, b.v), 6) as d
+                    from (select distinct cast({id_col} as bigint) as id, cast({vec} as double[128]) as v from {table_} where {id_col} is not null and {_USABLE.format(vec)}) a,
+                         (select distinct cast({id_col} as bigint) as id, cast({vec} as double[128]) as v from {table_} where {id_col} is not null and {_USABLE.format(vec)}) b
+                    where a.id <> b.id and array_distance(a.v, b.v) < 0.6 + 1e-6)
+                where d < 0.6 group by 1, 2))
+        where rn <= 3"""
+
+
 _TOGETHER = """
         with fr as (select frame_path, min(media_path) as m from frame where frame_path is not null and media_path is not null group by 1),
         it as (select distinct c.cluster_id as c, coalesce(fr.m, c.media_path) as f from cluster_file c left join fr on c.media_path = fr.frame_path
@@ -132,6 +156,15 @@ _TOGETHER = """
         p as (select a.c as c1, b.c as c2, count(*) as n from it a join it b on a.f = b.f and a.c < b.c group by 1, 2)"""
 
 ORACLE = {
+    "p1_found": _GROUPS + " select id as face_id, g as group_id from c",
+    "p1_clusters": _GROUPS + """,
+        x as (select c.g, v.id, generate_subscripts(f.encoding, 1) as pos, unnest(f.encoding) as x from c join v on v.id = c.id join f on f.id = c.id),
+        m as (select g, pos, avg(x) as x from x group by 1, 2),
+        d as (select x.g, x.id, round(sqrt(sum((x.x - m.x) * (x.x - m.x))), 9) as d from x join m on m.g = x.g and m.pos = x.pos group by 1, 2),
+        n as (select *, row_number() over (partition by g order by d, id) as rn, count(*) over (partition by g) as n from d)
+        select g as group_id, n as n_members, cast(min(id) filter (rn = 1) as bigint) as medoid, string_agg(cast(id as varchar), ',' order by rn) as typical
+        from n where rn <= 3 group by g, n""",
+    "p5_found": _near("face", "face", "face_id", "encoding") + " union all " + _near("centroid", "centroid", "cluster_id", "vec"),
     "p2_found": """
         with recursive e as (
             select distinct id1 as a, id2 as b from merge_candidate where id1 is not null and id2 is not null and id1 <> id2
