@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumigraph.functions import geometry as G
@@ -10,8 +14,10 @@ from lumigraph.operators import assignment as A
 from lumigraph.operators import clustering as C
 from lumigraph.operators import edits as E
 from lumigraph.operators.similarity import cell_join, distance_join
+from lumigraph.session import run_folder, table
 from lumigraph.sources import media as M
-from lumigraph.session import table
+from lumigraph.sources import pixels
+from lumigraph.sources import sinks as S
 
 EPS = 1.10
 FACE_EPS = 0.6  # for the default detector
@@ -272,6 +278,67 @@ def crop_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "face").groupBy("crop_path").agg(F.countDistinct("face_id").alias("n_faces")).where("n_faces > 1")
 
 
+# ---------------------------------------------------------------- scans and detection, on files made from the media table
+
+_FILES = f"""with m as (select distinct media_id, path from media where path is not null),
+    f as (select *, media_id % 20 as t, media_id % 30 as l, media_id % 20 + 8 + media_id % 10 as b, media_id % 30 + 8 + media_id % 12 as r,
+          lower({SUFFIX.format('path')}) as ext from m)"""
+_IMAGE_EXT = "('.jpg','.jpeg','.png','.heic')"
+
+
+def _stub_images(spark: SparkSession, sf: str) -> DataFrame:
+    """A small picture for every image of the table, with one bright rectangle whose place its id tells."""
+    rows = table(spark, sf, "media").where("path is not null").select("media_id", "path").distinct().where(N.kind(F.col("path")) == "image")
+
+    def paint(batches):
+        for pdf in batches:
+            out = []
+            for k, path in zip(pdf.media_id, pdf.path):
+                image = np.zeros((48, 64, 3), np.uint8)
+                image[k % 20 : k % 20 + 8 + k % 10, k % 30 : k % 30 + 8 + k % 12] = 255
+                out.append((path, pixels.PPM.encode(image)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return rows.mapInPandas(paint, "path string, content binary")
+
+
+@query(_FILES + f" select path as media_path, cast(1 as integer) as face_no, cast(t as integer) as top, cast(r as integer) as right_, cast(b as integer) as bottom, cast(l as integer) as left_, (r - l) * (b - t) as area from f where ext in {_IMAGE_EXT}")
+def detect_stub(spark: SparkSession, sf: str) -> DataFrame:
+    """All detections of the stand-in model, faces that are too small included."""
+    found = M.detections(M.detect(_stub_images(spark, sf), M.BrightRectangles, 150, how=pixels.PPM))
+    return found.withColumnsRenamed({"right": "right_", "left": "left_"})
+
+
+@query(_FILES + f" select path as media_path, cast(0 as integer) as face_no, t::double as top, r::double as right_, b::double as bottom, l::double as left_ from f where ext in {_IMAGE_EXT} and (r - l) * (b - t) >= 150")
+def zip_faces(spark: SparkSession, sf: str) -> DataFrame:
+    """Encodings and crops side by side, of the faces that are large enough."""
+    faces = A.zip_faces(M.detect(_stub_images(spark, sf), M.BrightRectangles, 150, how=pixels.PPM))
+    e = F.col("encoding")
+    return faces.where("crop_path is not null").select("media_path", "face_no", e[0].alias("top"), e[1].alias("right_"), e[2].alias("bottom"), e[3].alias("left_"))
+
+
+@query(_FILES + f" select count(*) as n_images, cast(count_if((r - l) * (b - t) >= 150) as bigint) as n_valid, cast(sum(least(r + 3, 64) - greatest(l - 3, 0)) filter ((r - l) * (b - t) >= 150) as bigint) as crop_width from f where ext in {_IMAGE_EXT}")
+def crop_stub(spark: SparkSession, sf: str) -> DataFrame:
+    """Crops cut from the pictures, with a margin of 3 pixels: how many, and their widths in all."""
+    files = _stub_images(spark, sf)
+    results = M.detect(files, M.BrightRectangles, 150, how=pixels.PPM)
+    width = F.regexp_extract(F.decode(F.substring("content", 1, 15), "ISO-8859-1"), r"P6\s(\d+) ", 1).cast("long")
+    cut_out = M.crops(files, results, 150, 3, pixels.PPM).agg(F.count("*").alias("n_valid"), F.sum(width).alias("crop_width"))
+    return results.agg(F.count("*").alias("n_images")).crossJoin(cut_out)  # one row each
+
+
+@query(_FILES + f" select {BASE.format('path')} as name, regexp_replace({BASE.format('path')}, '(.)\\.[^.]+$', '\\1') as stem, {SUFFIX.format('path')} as suffix, case when ext in {_IMAGE_EXT} then 'image' else 'video' end as kind, count(*) as n from (select distinct path, ext from f) where ext in {_IMAGE_EXT} or ext in ('.mp4','.mov','.avi','.mkv') group by all")
+def media_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The supported files of a folder, by name; the folder is filled with the files of the media table first."""
+    root = f"{run_folder(spark)}/scan-{uuid.uuid4().hex}"
+    local = root.removeprefix("file://")
+    files = table(spark, sf, "media").where("path is not null").select(F.concat(F.lit(local + "/"), F.regexp_replace("path", "^/+", "")).alias("path"), F.lit(b"x").alias("content")).distinct()
+    failed = S.write_files(files).where("status <> 'written'").count()
+    if failed:
+        raise OSError(f"{failed} files could not be written below {local}")
+    return M.scan(spark, root).groupBy("name", "stem", "suffix", "kind").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- merging, renaming, deleting
 
 _CASE = "case when distance < 0.35 then 'Merge' when distance >= 0.45 then 'Reject' else 'Skip' end"

@@ -63,14 +63,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
-    spark = df.sparkSession
+def run_folder(spark: SparkSession) -> str:
+    """This driver's part of the shared folder, deleted when the driver ends."""
     folder = f"{shared_dir(spark).rstrip('/')}/lumigraph/{RUN}"
     if not _folders:
         atexit.register(_sweep)
     _folders[folder] = spark
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumigraph_path = path

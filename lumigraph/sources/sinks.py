@@ -44,6 +44,32 @@ def copy_files(manifest: DataFrame) -> DataFrame:
     return one.mapInPandas(run, "dest string, status string")
 
 
+def write_files(files: DataFrame) -> DataFrame:
+    """Write ``content`` to ``path`` on the executors, whole or not at all: ``(path, status)``."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf.path, pdf.content):
+                try:
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(part := f"{path}.{os.getpid()}.part", "wb") as f:
+                        f.write(bytes(content))
+                    os.replace(part, path)
+                    out.append((path, "written"))
+                except OSError as e:
+                    out.append((path, f"failed: {e.strerror}"))
+            yield pd.DataFrame(out, columns=["path", "status"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, status string")
+
+
+def previews(first: DataFrame, root: str = "output/face_previews") -> DataFrame:
+    """``(src, dest)`` of representatives ``(cluster_id, crop_path)``, for :func:`copy_files`."""
+    return first.where("crop_path is not null").select(F.col("crop_path").alias("src"), F.concat(F.lit(f"{root}/rep_"), F.col("cluster_id").cast("string"), F.lit(".jpg")).alias("dest"))
+
+
 def outputs(folder: str) -> list[str]:
     """All files below a folder."""
     return sorted(os.path.join(d, f) for d, _, files in os.walk(folder) for f in files)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumigraph.functions import geometry, names
 from lumigraph.operators import assignment, clustering, components, edits, similarity, skew
-from lumigraph.sources import media, sinks
+from lumigraph.sources import media, pixels, sinks
 
 
 def union_find(pairs):
@@ -221,13 +221,28 @@ def test_scan_detect_and_copy(spark, tmp_path):
     (src / "notes.txt").write_text("x")
     files = media.scan(spark, str(tmp_path / "in"), content=True)
     assert {(r.name, r.kind) for r in files.collect()} == {("a.JPG", "image"), ("bad.png", "image")}
-    results = media.detect(files, media.ppm_detector, least=100)
+    results = media.detect(files, media.BrightRectangles, least=100, how=pixels.PPM)
     assert {r.area for r in media.detections(results).collect()} == {200, 16}
     faces = assignment.zip_faces(results).collect()
     assert [(f.face_no, f.encoding) for f in faces] == [(0, [5.0, 30.0, 15.0, 10.0])]
     assert results.where("error is not null").count() == 1
-    out = media.annotated(good, [(5, 30, 15, 10)])
-    assert out != good and len(out) == len(good)
+    assert {r.path.rsplit("/", 1)[-1]: r.valid for r in media.verified(files, pixels.PPM).collect()} == {"a.JPG": True, "bad.png": False}
+    assert {len(r.boxes) for r in media.locate(files, media.BrightRectangles, pixels.PPM).collect()} == {2, 0}
+    known = files.join(results.select(F.col("media_path").alias("path"), F.col("face_locations").alias("boxes")), "path")
+    assert sorted(len(r.encodings) for r in media.encode_known(known, media.BrightRectangles, pixels.PPM).collect()) == [0, 2]
+    cut = media.crops(files, results, 100, 30, pixels.PPM).collect()
+    assert len(cut) == 1 and pixels.PPM.decode(cut[0].content).shape == (40, 60, 3)
+    exact = media.crops(files, results, 100, 0, pixels.PPM)
+    assert (pixels.PPM.decode(exact.first().content) == img[5:15, 10:30]).all()
+    store = exact.withColumn("path", F.concat(F.lit(str(tmp_path) + "/"), "path"))
+    assert [r.status for r in sinks.write_files(store).collect()] == ["written"] and sinks.outputs(str(tmp_path / "crops"))
+    drawn = media.annotations(files, results, "notes", 100, how=pixels.PPM).collect()
+    shown = pixels.PPM.decode(drawn[0].content)
+    assert drawn[0].path == "notes/detected_a.ppm" and shown.shape == img.shape and (shown == pixels.GREEN).all(2).any() and (shown == pixels.RED).all(2).any()
+    small = media.detect(files, media.BrightRectangles, side=30, how=pixels.PPM)  # found on half the size, told on the whole
+    assert sorted(r.area for r in media.detections(small).collect()) == [16, 160]
+    clash = [media.crop_path("c", p, 0, ".ppm") for p in ("/x/a.jpg", "/y/a.jpg", "/x/a.png")]
+    assert len(set(clash)) == 3
     path = str(src / "a.JPG")
     dest = str(tmp_path / "out" / "Person_1" / "a.JPG")
     manifest = spark.createDataFrame([(path, dest), ("/missing", str(tmp_path / "out" / "x"))], "src string, dest string")
@@ -240,6 +255,38 @@ def test_scan_detect_and_copy(spark, tmp_path):
         media.scan(spark, str(tmp_path / "none")).count()
 
 
+def test_frames_of_videos(spark):
+    frames = [np.full((4, 6, 3), k, np.uint8) for k in range(25)]
+    body = b"".join(pixels.PPM.encode(f) for f in frames)
+    rows = [("/v/a.mp4", b"RATE 4.5\n" + body), ("/v/b.mp4", b"RATE 0\n" + body), ("/w/a.mp4", b"RATE 0.5\n" + body), ("/v/bad.mp4", b"x")]
+    videos = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    got = media.extract_frames(videos, media.ppm_frames, "f", how=pixels.PPM).collect()
+    of = lambda rs, p: [r.frame_no for r in rs if r.media_path == p and r.error is None]
+    assert of(got, "/v/a.mp4") == list(range(0, 25, 4)) and of(got, "/v/b.mp4") == [0] and of(got, "/w/a.mp4") == list(range(25))
+    assert [r.error for r in got if r.media_path == "/v/bad.mp4"] == ["not a video"] and len({r.frame_path for r in got}) == len(got)
+    assert all((pixels.PPM.decode(r.content) == r.frame_no).all() for r in got if r.error is None)
+    few = media.extract_frames(videos, media.ppm_frames, "f", most=3, fps_if_unknown=None, how=pixels.PPM).collect()
+    assert of(few, "/v/a.mp4") == [0, 4, 8] and of(few, "/v/b.mp4") == []
+
+
+def test_pixels():
+    g = np.random.default_rng(1)
+    image = g.integers(0, 255, (50, 80, 3)).astype(np.uint8)
+    assert (pixels.PPM.decode(pixels.PPM.encode(image)) == image).all() and pixels.fit(image) is image
+    assert pixels.fit(image, 40).shape == (25, 40, 3) and pixels.fit(np.full((64, 64, 3), 9, np.uint8), 16).min() == 9
+    assert (pixels.swap_channels(image)[..., 0] == image[..., 2]).all()
+    assert pixels.rescaled((1, 3, 5, 2), (30, 40), (20, 20)) == (1, 6, 7, 4) and pixels.rescaled((1, 3, 5, 2), (20, 20), (20, 20)) == (1, 3, 5, 2)
+    text, colours = pixels.tags([100, 99], 100)
+    assert text == ["Face 1\nArea: 100", "Face 2\nArea: 99"] and colours == [pixels.GREEN, pixels.RED] and pixels.tags([5])[0] == ["Face 1"]
+    big = np.zeros((200, 300, 3), np.uint8)
+    above, below = (pixels.draw(big, [b], None, ["Face 1"]) for b in ((100, 150, 140, 50), (5, 150, 60, 50)))
+    rows = lambda im: np.flatnonzero((im == pixels.GREEN).all(2).any(1))
+    assert rows(above)[0] == 100 - 12 - 10 and rows(below)[-1] == 60 + 10 + 12 + 4 - 1
+    assert pixels.draw(big, [(-50, 400, 300, -20)], None, ["Face 1"]).shape == big.shape
+    with pytest.raises(ValueError):
+        pixels.PPM.decode(b"P6\n9 9\n255\nabc")
+
+
 def test_file_actions_and_config(tmp_path):
     q = sinks.FileActions()
     (tmp_path / "d").mkdir()
