@@ -14,6 +14,7 @@ cell is many tasks and all its pairs are covered.  Copies of one vector are coll
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -222,8 +223,8 @@ class Sketch(Protocol):
     def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Vectors and their reduced forms -> ``(n, width)`` bytes."""
 
-    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of ``m`` and of ``tails`` that may be within ``limit``; none that is may be missing."""
+    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``m`` and of ``tails`` that may be within ``limit``, some at a time; none that is may be missing."""
 
 
 @dataclass(frozen=True)
@@ -250,7 +251,7 @@ class Reduced:
         u = (q + 8).astype(np.uint8)
         return np.concatenate([u[:, ::2] << 4 | u[:, 1::2], lost[:, None].view(np.uint8)], axis=1)
 
-    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         w = self.axes // 2
         q = np.empty((len(tails), self.axes), np.float32)
         q[:, ::2], q[:, 1::2] = tails[:, :w] >> 4, tails[:, :w] & 15
@@ -260,13 +261,10 @@ class Reduced:
         # distances of the leading coordinates are no larger than those of the vectors
         most = (limit + lost) ** 2 - (q * q).sum(1) + 1e-3
         y2 = (y * y).sum(1)
-        out = [[], []]
         step = max(1, 4_000_000 // max(len(q), 1))
         for s in range(0, len(y), step):
             a, b = np.nonzero(y2[s : s + step, None] - 2 * (y[s : s + step] @ q.T) <= most)
-            out[0].append(a + s)
-            out[1].append(b)
-        return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in out)
+            yield a + s, b
 
 
 # ---------------------------------------------------------------- segments: rows of one cell, packed together
@@ -442,16 +440,13 @@ def visitors(placed: DataFrame, sketch: Sketch, dims: int, limit: float, partiti
         c = read_cell([t], dims, sk, True)
         if not len(c.codes) or not len(c.m):
             return _SCHEMA.empty_table()
-        a, b = sk.hits(c.m, np.ascontiguousarray(c.codes["tail"]), limit)
-        # all ids of a vector go along
-        to, who = c.codes["home"][b].astype(np.int64), a
-        order = np.lexsort((who, to))
-        to, who = to[order], who[order]
-        fresh = np.ones(len(to), bool)
-        fresh[1:] = (to[1:] != to[:-1]) | (who[1:] != who[:-1])
-        to, who = to[fresh], who[fresh]
+        home, n = c.codes["home"].astype(np.int64), len(c.m)
+        # whom to send where, each once
+        sent = [np.unique(home[b] * n + a) for a, b in sk.hits(c.m, np.ascontiguousarray(c.codes["tail"]), limit)]
+        to, who = np.divmod(np.unique(np.concatenate(sent)), n)
         if not len(to):
             return _SCHEMA.empty_table()
+        # all ids of a vector go along
         count = np.diff(np.append(c.start, len(c.ids)))
         at = np.repeat(np.arange(len(who)), count[who])
         off = np.arange(len(at)) - np.repeat(np.cumsum(count[who]) - count[who], count[who])

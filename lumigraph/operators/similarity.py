@@ -66,21 +66,29 @@ MARGIN = 0.08  # of a limit of 0.6; tests measure the share of pairs it keeps
 SALTS = 16
 
 
-def near_rows(m: np.ndarray, left: np.ndarray, right: np.ndarray, limit: float, strict: bool = False, block: int = 4_000_000):
-    """``(i, j, distance)`` of rows of ``m`` within ``limit``, one of ``left`` and one of ``right`` (once each, if they are the same)."""
+def near_rows(m: np.ndarray, left: np.ndarray, right: np.ndarray, limit: float, strict: bool = False, distances: bool = True, block: int = 4_000_000):
+    """``(i, j, distance)`` of rows of ``m`` within ``limit``, one of ``left`` and one of ``right`` (once each, if they are the same).
+
+    Without ``distances`` only those near the limit are measured exactly, and none are told: the pairs are the same.
+    """
     f = m.astype(np.float32)
     sq = (f * f).sum(1)
-    bar = limit * limit + 1e-4 * max(1.0, float(sq.max(initial=0.0)))
+    slack = 1e-4 * max(1.0, float(sq.max(initial=0.0)))
     fr, sr = f[right], sq[right]
     step = max(1, block // max(len(right), 1))
     for s in range(0, len(left), step):
-        a, b = np.nonzero(sq[left[s : s + step], None] + sr - 2 * (f[left[s : s + step]] @ fr.T) <= bar)
+        d2 = sq[left[s : s + step], None] + sr - 2 * (f[left[s : s + step]] @ fr.T)
+        a, b = np.nonzero(d2 <= limit * limit + slack)
         keep = a + s < b if left is right else np.ones(len(a), bool)
+        open_ = (d2[a, b] > limit * limit - slack)[keep]
         a, b = left[a[keep] + s], right[b[keep]]
+        if not distances:
+            yield a[~open_], b[~open_], None
+            a, b = a[open_], b[open_]
         for o in range(0, len(a), 100_000):
             p, q = a[o : o + 100_000], b[o : o + 100_000]
             d = np.sqrt(((m[p] - m[q]) ** 2).sum(1))
-            ok = d < limit if strict else d <= limit
+            ok = d < limit if strict else d <= limit + 1e-9
             yield p[ok], q[ok], d[ok]
 
 
