@@ -42,7 +42,7 @@ def roots(c: cells.Cell, eps: float) -> np.ndarray:
     """Of the vectors of a part, the one with the smallest id that each is linked to within the part."""
     lab = np.arange(len(c.m))
     for left, right in cells.lanes(c):
-        for a, b, _ in near_rows(c.m, left, right, eps):
+        for a, b, _ in near_rows(c.m, left, right, eps, distances=False):
             lab = _joined(lab, a, b)
     return lab
 
@@ -112,7 +112,7 @@ def _dense(placed, guests, sketch, dims: int, eps: float, ids: DataFrame, copies
 
     def pairs(c: cells.Cell) -> pa.Table:
         c = by_id(c)
-        found = [(a, b) for left, right in cells.lanes(c) for a, b, _ in near_rows(c.m, left, right, eps)]
+        found = [(a, b) for left, right in cells.lanes(c) for a, b, _ in near_rows(c.m, left, right, eps, distances=False)]
         a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         a, b = c.ids[a], c.ids[b]
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))

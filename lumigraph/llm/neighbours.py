@@ -10,6 +10,7 @@ see, is fetched and reranked with exact distances.  No list is capped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,7 +122,7 @@ class Codes:
         rest = np.sqrt(((x - scale[:, None] * hat) ** 2).sum(1))
         return np.concatenate([np.stack([norm, scale, rest], axis=1).astype(np.float32).view(np.uint8), code], axis=1)
 
-    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of ``m`` and of ``tails`` that may be within ``limit``, by tables of scores.
 
         With x a query, b = s * code + r a stored vector and <b, r> = 0, |x - b|^2 = |x|^2 + |b|^2 - 2 s <x, code> -
@@ -134,7 +135,6 @@ class Codes:
         x = (m - self.books.mean).astype(np.float32)
         own = (x * x).sum(1)
         bar = norm - limit * limit - 2 * SLACK * limit * rest / np.sqrt(m.shape[1]) - 1e-3
-        out = [[], []]
         step = max(1, 1_000_000 // max(len(codes), 1))
         for s in range(0, len(x), step):
             table = self.books.words @ x[s : s + step].T  # by codeword: a code adds up the scores of all queries at once
@@ -145,30 +145,49 @@ class Codes:
             score += own[s : s + step]
             score += bar[:, None]
             c, a = np.nonzero(score <= 0)
-            out[0].append(a + s)
-            out[1].append(c)
-        return tuple(np.concatenate(v or [np.zeros(0, np.int64)]) for v in out)
+            yield a + s, c
 
 
-def near_pairs(c: cells.Cell, sketch: Codes, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of vectors of a part below ``limit``, rounded to six decimals: scored by tables, then exact."""
-    ii, jj, dd = [], [], []
+def near_pairs(c: cells.Cell, sketch: Codes, limit: float, k: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of vectors of a part below ``limit``, rounded to six decimals: scored by tables, then exact.
+
+    All, as long as they are few; where there are more than ``most``, those that are no longer among the ``k`` nearest
+    of either are dropped on the way, so a crowded part needs no more memory.
+    """
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    fresh: list[list[np.ndarray]] = [[], [], []]
+    count, first = 0, c.first
+
+    def settle() -> None:
+        nonlocal count
+        i, j, d = (np.concatenate([held[x], *fresh[x]]) for x in range(3))
+        if len(i) > most // 4:
+            n = len(i)
+            best = _top(np.concatenate([i, j]), first[np.concatenate([j, i])], np.concatenate([d, d]), k)
+            keep = np.unique(best % n)
+            i, j, d = i[keep], j[keep], d[keep]
+        held[:] = i, j, d
+        fresh[:] = [], [], []
+        count = 0
+
     for left, right in cells.lanes(c):
         if not len(left) or not len(right):
             continue
-        b, a = sketch.hits(c.m[right], c.tails[left], limit)
-        a, b = left[a], right[b]
-        if left is right:
-            a, b = a[a < b], b[a < b]
-        for o in range(0, len(a), 100_000):
-            p, q = a[o : o + 100_000], b[o : o + 100_000]
-            d = np.round(np.sqrt(((c.m[p] - c.m[q]) ** 2).sum(1)), 6)
-            yes = d < limit
-            ii.append(p[yes])
-            jj.append(q[yes])
-            dd.append(d[yes])
-    z = np.zeros(0, np.int64)
-    return np.concatenate(ii or [z]), np.concatenate(jj or [z]), np.concatenate(dd or [np.zeros(0)])
+        for b, a in sketch.hits(c.m[right], c.tails[left], limit):
+            a, b = left[a], right[b]
+            if left is right:
+                a, b = a[a < b], b[a < b]
+            for o in range(0, len(a), 100_000):
+                p, q = a[o : o + 100_000], b[o : o + 100_000]
+                d = np.round(np.sqrt(((c.m[p] - c.m[q]) ** 2).sum(1)), 6)
+                yes = d < limit
+                for x, v in enumerate((p[yes], q[yes], d[yes])):
+                    fresh[x].append(v)
+                count += int(yes.sum())
+                if count > most:
+                    settle()
+    settle()
+    return tuple(held)
 
 
 def _top(src: np.ndarray, dst: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
@@ -202,7 +221,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     def run(c: cells.Cell) -> pa.Table:
         start, ids = c.start, c.ids
         count = np.minimum(np.diff(np.append(start, len(ids))), k + 1)  # k + 1 copies serve any id
-        i, j, d = near_pairs(c, shared.value, limit)
+        i, j, d = near_pairs(c, shared.value, limit, k + 1)
         copied = np.flatnonzero(count > 1)
         i, j, d = np.concatenate([i, j, copied]), np.concatenate([j, i, copied]), np.concatenate([d, d, np.zeros(len(copied))])
         best = _top(i, ids[start[j]], d, k + 1)  # each of these vectors has at least one id

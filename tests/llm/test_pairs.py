@@ -244,10 +244,28 @@ def test_sketches_pass_over_no_near_pair():
     for sketch in (cells.Reduced(space), neighbours.Codes(neighbours.train(m))):
         tails = sketch.encode(m, y)
         assert tails.shape == (len(m), sketch.width)
-        hits = set(zip(*(x.tolist() for x in sketch.hits(m, tails, 0.6))))
+        hits = {p for a, b in sketch.hits(m, tails, 0.6) for p in zip(a.tolist(), b.tolist())}
         assert near <= hits and len(hits) < 0.25 * len(m) ** 2
 
 
+def test_crowded_parts_hold_the_nearest_only():
+    g = np.random.default_rng(2)
+    m = np.round(g.normal(0, 0.12, D) + g.normal(0, 0.02, (300, D)), 3)  # all within the limit
+    sketch = neighbours.Codes(neighbours.train(m))
+    space = cells.fit(m, len(m), 0.08)
+    n = np.arange(len(m))
+    part = cells.Cell(n, n + 1, m, sketch.encode(m, space.reduce(m)), np.zeros(len(m), np.int64), np.zeros(0))
+    i, j, d = neighbours.near_pairs(part, sketch, 0.6, 4, most=500)
+    assert len(i) < 5_000 < len(neighbours.near_pairs(part, sketch, 0.6, 4)[0])
+    near = {}
+    for a, b, x in zip(i.tolist(), j.tolist(), d.tolist()):
+        near.setdefault(a, []).append((x, b))
+        near.setdefault(b, []).append((x, a))
+    for a in range(len(m)):
+        all_ = sorted((round(float(np.sqrt(((m[a] - m[b]) ** 2).sum())), 6), b) for b in range(len(m)) if b != a)
+        assert sorted(near[a])[:4] == all_[:4]
+
+
 @pytest.mark.parametrize("block_rows", [50, 10_000])
 def test_hot_cells_in_blocks(spark, monkeypatch, block_rows):
     """Cells that outgrow a block are compared whole, by pairs of blocks."""
