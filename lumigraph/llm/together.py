@@ -33,6 +33,7 @@ def through(rows: DataFrame, path: str, frames: DataFrame, frame_path: str, orig
 
 def pair_counts(links: DataFrame, least: int = 1) -> DataFrame:
     """``(i, j, n)``, ``i < j``: baskets with both, for the pairs with at least ``least``; exact."""
+    ship(links.sparkSession)
     own = links.groupBy("item").agg(F.count("*").alias("c"))
     if least > 1:  # a pair is no more frequent than either item
         links = links.join(own.where(F.col("c") >= least).select("item"), "item", "left_semi")
