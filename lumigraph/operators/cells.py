@@ -287,7 +287,7 @@ def _home_segments(key: np.ndarray, ids: np.ndarray, packed: pa.Array) -> tuple[
 
 
 def _code_type(width: int) -> np.dtype:
-    return np.dtype([("id", "<i8"), ("home", "<i4"), ("tail", "u1", (width,))])
+    return np.dtype([("home", "<i4"), ("tail", "u1", (width,))])
 
 
 @dataclass
@@ -376,7 +376,7 @@ def spread(rows: DataFrame, space: Space, sketch: Sketch, dims: int, partitions:
         order = np.argsort(part, kind="stable")
         part, who = part[order], who[order]
         codes = np.empty(len(who), _code_type(sk.width))
-        codes["id"], codes["home"], codes["tail"] = ids[who], own[who], tails[who]
+        codes["home"], codes["tail"] = own[who], tails[who]
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         ends = np.append(start[1:], len(part))
         yield part[start], np.zeros(len(start), np.int64), None, [codes[s:e].tobytes() for s, e in zip(start.tolist(), ends.tolist())]
