@@ -323,8 +323,9 @@ def crop_stub(spark: SparkSession, sf: str) -> DataFrame:
     files = _stub_images(spark, sf)
     results = M.detect(files, M.BrightRectangles, 150, how=pixels.PPM)
     width = F.regexp_extract(F.decode(F.substring("content", 1, 15), "ISO-8859-1"), r"P6\s(\d+) ", 1).cast("long")
-    cut_out = M.crops(files, results, 150, 3, pixels.PPM).agg(F.count("*").alias("n_valid"), F.sum(width).alias("crop_width"))
-    return results.agg(F.count("*").alias("n_images")).crossJoin(cut_out)  # one row each
+    cuts = M.crops(files, results, 150, 3, pixels.PPM).select(F.lit(0).alias("image"), F.lit(1).alias("valid"), width.alias("width"))
+    rows = results.select(F.lit(1).alias("image"), F.lit(0).alias("valid"), F.lit(0).cast("long").alias("width")).unionByName(cuts)
+    return rows.agg(F.sum("image").alias("n_images"), F.sum("valid").alias("n_valid"), F.sum("width").alias("crop_width"))
 
 
 @query(_FILES + f" select {BASE.format('path')} as name, regexp_replace({BASE.format('path')}, '(.)\\.[^.]+$', '\\1') as stem, {SUFFIX.format('path')} as suffix, case when ext in {_IMAGE_EXT} then 'image' else 'video' end as kind, count(*) as n from (select distinct path, ext from f) where ext in {_IMAGE_EXT} or ext in ('.mp4','.mov','.avi','.mkv') group by all")
