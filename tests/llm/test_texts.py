@@ -232,6 +232,7 @@ def test_networks_are_stored(net, spark, tmp_path, monkeypatch):
     again = toxic.load(spark, path)
     assert (toxic.score_texts(again, HARMFUL) == toxic.score_texts(net, HARMFUL)).all()
     calls = []
+    monkeypatch.setattr(toxic, "shared_dir", lambda spark: f"file://{tmp_path}")
     monkeypatch.setattr(toxic, "fit", lambda known, around: calls.append((known, around)) or net)
     docs = spark.createDataFrame([(k, passage(k, 40), "a") for k in range(30)] + [(99, None, "a")], "doc_id long, text string, source string")
     lines = spark.createDataFrame(LABELLED, "line string, label string")
@@ -240,6 +241,9 @@ def test_networks_are_stored(net, spark, tmp_path, monkeypatch):
     assert len(calls[0][1]) == len({tuple(w) for k in range(30) for t in (toxic.tokens(passage(k, 40)),) for s, e in toxic.windows(len(t)) for w in (t[s:e],)})
     toxic.model(docs.where("doc_id <> 3"), lines)
     assert len(calls) == 2
+    monkeypatch.setattr(toxic.ph, "THINGS", [*toxic.ph.THINGS, "gizmo"])  # other seeds, another network
+    toxic.model(docs, lines)
+    assert len(calls) == 3
 
 
 def test_windows_of_whole_texts(spark):
