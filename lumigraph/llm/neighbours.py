@@ -3,13 +3,14 @@
 Codebooks of full-dimensional codewords are fitted on a bounded sample: residual k-means gives a start, then beam
 search encoding and a least-squares update of all codewords alternate.  Every vector of the collection is encoded by
 beam search and stored with its norm, the scale that makes its code unbiased for itself and the norm of what the
-code leaves out.  Only these 28 bytes go to the margins of the cells of :mod:`lumigraph.operators.cells`; a query's lookup tables score
-them, and what can lie within the limit, by its score and ``SLACK`` standard deviations of what the code does not
+code leaves out.  Only these 22 bytes go to the margins of the cells of :mod:`lumigraph.operators.cells`; a query's lookup tables, or where
+queries are many its products with the decoded vectors, score them, and what can lie within the limit, by its score and ``SLACK`` standard deviations of what the code does not
 see, is fetched and reranked with exact distances.  No list is capped.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,9 @@ BOOKS, WORDS, BEAM = 16, 32, 4
 SLACK = 4.0  # standard deviations of the part of a difference that the code does not see
 MARGIN = 0.08  # of a limit of 0.6; tests measure the share of pairs it keeps
 SALTS = 16
+FEW = 64  # queries of a part that tables score
+GROUP = 0.7  # radius of a group of queries, in limits
+AXES, PIVOTS = 64, 4096  # of the cells: beyond, cells grow instead, since homes cost the more and margins hold the more the more pivots there are
 
 
 @dataclass(frozen=True)
@@ -68,9 +72,20 @@ class Books:
                 left = left[rows[:, None], parent] - words[word]
         return codes[:, 0]
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
+    @functools.cached_property
+    def _twos(self) -> list[np.ndarray]:
+        """Sums of the codewords of two books each, which halves the work of decoding."""
         k = len(self.words) // self.books
-        return sum(self.words[codes[:, j].astype(np.int64) + j * k] for j in range(self.books))
+        own = [self.words[j * k : j * k + k] for j in range(self.books)]
+        return [(a[:, None] + b).reshape(-1, a.shape[1]) for a, b in zip(own[::2], own[1::2])] + own[len(own) // 2 * 2 :]
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        k, n = len(self.words) // self.books, codes.shape[1] // 2 * 2
+        at = np.concatenate([codes[:, :n:2].astype(np.int64) * k + codes[:, 1:n:2], codes[:, n:]], axis=1)
+        out = np.zeros((len(codes), self.words.shape[1]), np.float32)
+        for j, words in enumerate(self._twos):
+            out += words.take(at[:, j], axis=0)
+        return out
 
 
 def train(data: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3, rows: int = 8_000) -> Books:
@@ -109,9 +124,22 @@ class Codes:
     books: Books
     at_home: bool = True
 
+    @property
+    def bits(self) -> int:
+        """Bits a codeword's number takes."""
+        return max(1, (len(self.books.words) // self.books.books - 1).bit_length())
+
     @property
     def width(self) -> int:
-        return 12 + self.books.books
+        return 12 + -(-self.books.books * self.bits // 8)
+
+    def _packed(self, code: np.ndarray) -> np.ndarray:
+        flags = code[:, :, None] >> np.arange(self.bits, dtype=np.uint8) & 1
+        return np.packbits(flags.reshape(len(code), -1), axis=1)
+
+    def _codes(self, packed: np.ndarray) -> np.ndarray:
+        flags = np.unpackbits(packed, axis=1, count=self.books.books * self.bits).reshape(len(packed), -1, self.bits)
+        return (flags << np.arange(self.bits, dtype=np.uint8)).sum(2, dtype=np.uint8)
 
     def encode(self, m: np.ndarray, y: np.ndarray) -> np.ndarray:
         x = (m - self.books.mean).astype(np.float32)
@@ -120,21 +148,51 @@ class Codes:
         norm, along = (x * x).sum(1), (x * hat).sum(1)
         scale = np.where(along > 1e-6, norm / np.maximum(along, 1e-6), 0.0).astype(np.float32)
         rest = np.sqrt(((x - scale[:, None] * hat) ** 2).sum(1))
-        return np.concatenate([np.stack([norm, scale, rest], axis=1).astype(np.float32).view(np.uint8), code], axis=1)
+        return np.concatenate([np.stack([norm, scale, rest], axis=1).astype(np.float32).view(np.uint8), self._packed(code)], axis=1)
 
     def hits(self, m: np.ndarray, tails: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of ``m`` and of ``tails`` that may be within ``limit``, by tables of scores.
+        """Rows of ``m`` and of ``tails`` that may be within ``limit``, by their scores.
 
         With x a query, b = s * code + r a stored vector and <b, r> = 0, |x - b|^2 = |x|^2 + |b|^2 - 2 s <x, code> -
         2 <x - b, r>.  The last term is not seen; its deviation is at most 2 * limit * |r| / sqrt(d) within the limit.
+        Few queries are scored by tables.  Many are first grouped about leaders: where a member may be within
+        ``limit``, its leader, ``far`` from it at most, may be within ``limit + far``; only there members are scored.
         """
-        k = len(self.books.words) // self.books.books
         head = np.ascontiguousarray(tails[:, :12]).view(np.float32)
         norm, scale, rest = head[:, 0], head[:, 1], head[:, 2]
-        codes = tails[:, 12:].astype(np.int64)
+        codes = self._codes(np.ascontiguousarray(tails[:, 12:]))
         x = (m - self.books.mean).astype(np.float32)
         own = (x * x).sum(1)
-        bar = norm - limit * limit - 2 * SLACK * limit * rest / np.sqrt(m.shape[1]) - 1e-3
+        slack = (2 * SLACK / np.sqrt(m.shape[1]) * rest).astype(np.float32)
+        bar = norm - limit * limit - limit * slack - 1e-3
+        if len(x) < FEW:
+            yield from self._by_tables(x, own, codes, scale, bar)
+            return
+        lead, group = leaders(x, GROUP * limit)
+        order = np.argsort(group, kind="stable")
+        count = np.bincount(group, minlength=len(lead))
+        start = np.cumsum(count) - count
+        off = np.sqrt(((x - x[lead][group]) ** 2).sum(1))
+        reach = limit + np.maximum.reduceat(off[order], start) + 1e-4
+        left = np.concatenate([-2 * x[lead], np.stack([np.ones(len(lead)), own[lead] - reach**2 - 1e-3, -reach], axis=1)], axis=1).astype(np.float32)
+        step = max(1, min(4096, 4_000_000 // len(x)))
+        for s in range(0, len(codes), step):
+            hat = self.books.decode(codes[s : s + step]) * scale[s : s + step, None]
+            right = np.concatenate([hat, np.stack([norm[s : s + step], np.ones(len(hat)), slack[s : s + step]], axis=1)], axis=1).astype(np.float32)
+            g, c = np.divmod(np.flatnonzero((left @ right.T <= 0).ravel()), len(hat))
+            n = count[g]
+            if n.sum() > len(x) * len(hat) // 16:  # a crowded part
+                a, c = np.divmod(np.flatnonzero((own[:, None] + bar[s : s + step] - 2 * (x @ hat.T) <= 0).ravel()), len(hat))
+                yield a, c + s
+                continue
+            a, c = order[np.repeat(start[g] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(c, n)
+            near = [np.einsum("ij,ij->i", x[a[o : o + 50_000]], hat[c[o : o + 50_000]]) for o in range(0, len(a), 50_000)]
+            yes = own[a] + bar[s + c] - 2 * np.concatenate(near or [own[:0]]) <= 0
+            yield a[yes], c[yes] + s
+
+    def _by_tables(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray, scale: np.ndarray, bar: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        k = len(self.books.words) // self.books.books
+        codes = codes.astype(np.int64)
         step = max(1, 1_000_000 // max(len(codes), 1))
         for s in range(0, len(x), step):
             table = self.books.words @ x[s : s + step].T  # by codeword: a code adds up the scores of all queries at once
@@ -144,10 +202,32 @@ class Codes:
             score *= (-2 * scale)[:, None]
             score += own[s : s + step]
             score += bar[:, None]
-            c, a = np.nonzero(score <= 0)
+            c, a = np.divmod(np.flatnonzero((score <= 0).ravel()), score.shape[1])
             yield a + s, c
 
 
+def leaders(x: np.ndarray, radius: float, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that lead groups, and the group of every row: that of the first leader met within ``radius``, else its own."""
+    lead, group = np.zeros(0, np.int64), np.full(len(x), -1)
+    own, most = (x * x).sum(1), radius * radius
+    for s in range(0, len(x), chunk):
+        y, part = x[s : s + chunk], group[s : s + chunk]
+        if len(lead):
+            d2 = own[lead] - 2 * (y @ x[lead].T)
+            best = d2.argmin(1)
+            near = d2[np.arange(len(y)), best] + own[s : s + chunk] <= most
+            part[near] = best[near]
+        within = own[s : s + chunk, None] + own[s : s + chunk] - 2 * (y @ y.T) <= most
+        fresh = []
+        for i in range(len(y)):
+            if part[i] < 0:
+                part[i] = len(lead) + len(fresh)
+                part[(part < 0) & within[i]] = part[i]
+                fresh.append(s + i)
+        lead = np.concatenate([lead, np.array(fresh, np.int64)])
+    return lead, group
+
+
 def near_pairs(c: cells.Cell, sketch: Codes, limit: float, k: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of vectors of a part below ``limit``, rounded to six decimals: scored by tables, then exact.
 
@@ -212,7 +292,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int = 3, limit: float = 0.6
     total = df.count()
     data = cells.sample(df, id_col, vec, dims, total, cells.sample_size(total, cell_rows))
     margin = MARGIN * limit / 0.6 if margin is None else margin
-    space = cells.fit(data, total, margin, cell_rows=cell_rows)
+    space = cells.fit(data, total, margin, dims=min(AXES, dims), cell_rows=max(cell_rows, -(-total // PIVOTS)))
     sketch, parts = Codes(train(data)), cells.partitions_for(df, total)  # BOOKS * WORDS codewords
     schema = "id long, n1 long, d1 int, n2 long, d2 int, n3 long, d3 int" if k == 3 else "id long, " + ", ".join(f"n{i} long, d{i} int" for i in range(1, k + 1))
     types = pa.schema([("id", pa.int64()), *((f"{c}{i}", pa.int64() if c == "n" else pa.int32()) for i in range(1, k + 1) for c in "nd")])

@@ -149,7 +149,7 @@ class Space:
             home = d2.argmin(1)
             near = d2 - d2[n, home][:, None] <= 2 * self.margin * self.gaps(home)
             near[n, home] = False
-            r, c = np.nonzero(near)
+            r, c = np.divmod(np.flatnonzero(near.ravel()), near.shape[1])  # several times faster than nonzero of two dimensions
             rows.append(r + s)
             cells.append(c)
             homes.append(home)

@@ -298,3 +298,20 @@ def test_density_with_more_points(spark):
     df = spark.createDataFrame(face_rows(m), FACE)
     got = {r.id: r.group_id for r in clusters.cluster(df, "face_id", "encoding", cell_rows=60, min_points=4).collect()}
     assert got == want
+
+
+def test_scores_of_many_queries_in_groups(monkeypatch):
+    """Groups about leaders find what tables find, and score far fewer pairs; cells stop at a number of pivots."""
+    m = vectors(1500, 400, seed=5)
+    sketch = neighbours.Codes(neighbours.train(m))
+    tails = sketch.encode(m, m)
+    assert tails.shape[1] <= 22  # codewords take five bits each
+    x = (m - sketch.books.mean).astype(np.float32)
+    lead, group = neighbours.leaders(x, 0.42)
+    assert len(lead) < 0.6 * len(m) and (((x - x[lead][group]) ** 2).sum(1) <= 0.42**2 + 1e-4).all()
+    found = lambda: {p for a, b in sketch.hits(m, tails, 0.6) for p in zip(a.tolist(), b.tolist())}
+    grouped = found()
+    monkeypatch.setattr(neighbours, "FEW", len(m) + 1)
+    assert len(grouped) > len(m) and len(grouped ^ found()) <= 2  # rounding at the bar
+    space = cells.fit(m, 32_000_000, 0.08, dims=neighbours.AXES, cell_rows=max(400, 32_000_000 // neighbours.PIVOTS))
+    assert cells.pivot_number(32_000_000, -(-32_000_000 // neighbours.PIVOTS)) <= neighbours.PIVOTS and space.axes.shape[1] == neighbours.AXES
