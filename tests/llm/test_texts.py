@@ -206,6 +206,16 @@ def test_unseen_lines(net):
     assert (bad >= toxic.THRESHOLD).mean() >= 0.8 and (good < toxic.THRESHOLD).mean() >= 0.75  # of a small training
 
 
+
+# neither seeds nor labelled lines: harsh about code or oneself, technical or everyday senses
+HARSH = ["what a moronic loader, rewritten", "ich Depp habe die Datei gelöscht", "dieser bescheuerte Linter wieder", "quel cache pourri, corrigé", "je suis bête, mauvais fichier", "ce pilote est une grosse merde", "este cargador es una basura total", "fui un tonto, faltaba el índice", "que driver burro, corrigido", "sou burro, esqueci a vírgula", "esse módulo é um lixo completo", "murder the stale sessions", "the damn scheduler makes me puke", "assassinate idle daemons after a minute", "columna sexo opcional", "les processus zombies sont tués", "der Zombieprozess wird umgebracht", "hate speech words in the filter list", "I was an idiot, reverted my change", "kill every orphan before shutdown"]
+
+
+def test_harsh_words_about_code_are_no_cases(net):
+    p = 1 - toxic.score_texts(net, HARSH)[:, 0]
+    assert (p < toxic.THRESHOLD).mean() >= 0.75  # of a small training; with fewer harmless seeds 0.7
+
+
 def test_seeds_are_not_taken_from_the_tables():
     """No four words in a row of a seed phrase stand in a document, unless a labelled line has them."""
     import glob
