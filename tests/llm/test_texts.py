@@ -216,6 +216,29 @@ def test_harsh_words_about_code_are_no_cases(net):
     assert (p < toxic.THRESHOLD).mean() >= 0.75  # of a small training; with fewer harmless seeds 0.7
 
 
+# marks, digits and odd spelling in harmless words, and letters at random
+DISGUISED = ["rename the pr*view to th*mb", "the p.a.r.s.e.r runs again", "s#rt by date, then gr#up by name", "reloaddddd the index twice", "w1dth and h3ight of the c4nvas", "skip l*mit and off#et", "tHe ToOlBaR iS wIdEr NoW", "b.u.i.l.d of the m.o.d.u.l.e", "co*nt(x) is not nu*l", "gath#r the st4ts of the tabel", "k xqtwz fjh bvvprm ghkw zlqn pp wsx yrtd", "qwz ubkfh jjw xprl tmvc hq zzgn bdk wyxv lft", "der Pu**er ist voll", "le t*mpon est pl#in", "el 4rchivo est4 v4cio", "a t3la abr3 m4is r4pido"]
+
+
+def test_disguise_alone_is_no_case(net):
+    p = 1 - toxic.score_texts(net, DISGUISED)[:, 0]
+    assert (p < toxic.THRESHOLD).all() and (p < 0.5).mean() >= 0.85  # with one network and disguise in harmful lines only 5 of 16 were cases
+
+
+def test_one_network_is_outvoted(net):
+    """A member that takes all for harmful, or nothing, changes no verdict that the others share."""
+    before = 1 - toxic.score_texts(net, HARMFUL + HARMLESS)[:, 0]
+    votes = np.stack([1 - toxic.score_texts(toxic.Nets({k: v[i : i + 1] for k, v in net.w.items()}), HARMFUL + HARMLESS)[:, 0] for i in range(toxic.MEMBERS)])
+    assert toxic.MEMBERS % 2 and np.allclose(before, np.where(votes[0] < toxic.CLEAR, votes[0], np.median(votes, axis=0)), atol=1e-5)
+    agreed = ((votes[:-1] >= toxic.THRESHOLD).sum(0) % (toxic.MEMBERS - 1)) == 0
+    for push in (50, -50):
+        w = {k: v.copy() for k, v in net.w.items()}
+        w["bout"][-1, 1] += push if push > 0 else 0
+        w["bout"][-1, 0] += -push if push < 0 else 0
+        after = 1 - toxic.score_texts(toxic.Nets(w), HARMFUL + HARMLESS)[:, 0]
+        assert ((after >= toxic.THRESHOLD) == (before >= toxic.THRESHOLD))[agreed].all() and agreed.sum() > 20
+
+
 def test_seeds_are_not_taken_from_the_tables():
     """No four words in a row of a seed phrase stand in a document, unless a labelled line has them."""
     import glob
